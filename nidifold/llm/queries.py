@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, licenses, packing, sharding
+from . import chat, exact_dedup, licenses, packing, sharding, token_files
 from .common import read_table
 
 
@@ -66,12 +66,19 @@ OP9_SQL = r"""
     FROM e GROUP BY conv_id
 """
 
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.write_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_tokens(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op4_sharding": op4_sharding,
     "op5_license_scan": op5_license_scan,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_chat_format": op9_chat_format,
+    "op10_token_files": op10_token_files,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_license_scan": licenses.scan_sql(),

@@ -29,10 +29,12 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), ASCII_SPACE, "")
 
 
-def named(rows: DataFrame, content: list[str], label: str) -> DataFrame:
-    """A row for each distinct ``content`` of ``rows`` with its integer ``__name`` and its number of rows ``__n``."""
+def named(rows: DataFrame, content: list[str], label: str, keep: list[str]) -> DataFrame:
+    """A row for each distinct ``content`` of ``rows``: the columns ``keep`` of it, its integer ``__name`` and its number of
+    rows ``__n``. The contents are sorted within the partitions to which they were dealt, and numbered in that order."""
     distinct = rows.groupBy(*content).agg(F.count(F.lit(1)).alias("__n"))
-    return staged(distinct.sortWithinPartitions(*content).withColumn("__name", F.monotonically_increasing_id()), label)
+    numbered = distinct.sortWithinPartitions(*content).withColumn("__name", F.monotonically_increasing_id())
+    return staged(numbered.select(*keep, "__name", "__n"), label)
 
 
 def block_names(docs: DataFrame, block: int = BLOCK, block_hash=F.xxhash64) -> DataFrame:
@@ -41,9 +43,8 @@ def block_names(docs: DataFrame, block: int = BLOCK, block_hash=F.xxhash64) -> D
     plain = docs.select("doc_id", "__x", F.col("__norm").cast("binary").alias("__norm"))
     cut = F.transform(F.sequence(F.lit(0), size(F.col("__norm")) - 1), lambda i: F.substring(F.col("__norm"), i * F.lit(block) + 1, F.lit(block)))
     blocks = plain.select(*KEY, size(F.col("__norm")).alias("__size"), F.posexplode(cut).alias("__pos", "__block")).withColumn("__h", block_hash("__block"))
-    names = named(blocks, ["__h", "__block"], "block-names-text").select("__h", "__block", "__n", "__name")
-    by_hash = names.groupBy("__h").agg(F.count(F.lit(1)).alias("__same"), F.sum("__n").alias("__n"), F.min("__name").alias("__name"))
-    by_hash = staged(by_hash, "block-names")
+    names = named(blocks, ["__h", "__block"], "block-names", ["__h"])
+    by_hash = staged(names.groupBy("__h").agg(F.count(F.lit(1)).alias("__same"), F.sum("__n").alias("__n"), F.min("__name").alias("__name")), "names-by-hash")
     out = [*KEY, "__size", "__pos", "__name"]
     rows = staged(blocks.select(*KEY, "__size", "__pos", "__h"), "blocks")
     total = rows.count()
@@ -51,9 +52,10 @@ def block_names(docs: DataFrame, block: int = BLOCK, block_hash=F.xxhash64) -> D
     shared = by_hash.filter("__same > 1").select("__h")
     if not shared.limit(1).count():
         return join_counted(rows, single, ["__h"], "__n", total).select(*out)
-    # Distinct blocks with one hash: their rows are joined on the contents.
+    # Distinct blocks with one hash: their rows are joined on the contents. Their names lie below all others.
     there = staged(blocks.join(shared, "__h", "left_semi"), "blocks-text")
-    exact = join_counted(there, names.select("__block", "__n", "__name"), ["__block"], "__n", total)
+    exact = named(there, ["__block"], "names-text", ["__block"]).withColumn("__name", -2 - F.col("__name"))
+    exact = join_counted(there, exact, ["__block"], "__n", total)
     rest = join_counted(rows.join(shared, "__h", "left_anti"), single, ["__h"], "__n", total)
     return rest.select(*out).unionByName(exact.select(*out))
 
@@ -71,7 +73,7 @@ def identities(docs: DataFrame, block: int = BLOCK, block_hash=F.xxhash64) -> Da
         pairs = staged(pairs, f"pairs-{level}")
         if not (total := pairs.count()):
             break
-        names = named(pairs, ["__a", "__b"], f"names-{level}")
+        names = named(pairs, ["__a", "__b"], f"names-{level}", ["__a", "__b"])
         rows = join_counted(pairs, names, ["__a", "__b"], "__n", total).select(*KEY, "__pos", "__name", "__size")
         rows = staged(rows, f"rows-{level}")
         level += 1

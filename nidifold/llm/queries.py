@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, licenses, packing, sharding, token_files
+from . import chat, exact_dedup, licenses, near_dedup, packing, sharding, token_files
 from .common import read_table
 
 
@@ -17,6 +17,24 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), words=2)
+
+
+OP3_SQL = r"""
+    WITH RECURSIVE w AS MATERIALIZED (
+        SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM documents),
+    s AS MATERIALIZED (
+        SELECT DISTINCT doc_id, hash(CASE WHEN len(ws) = 1 THEN ws[1] ELSE ws[i] || ' ' || ws[i + 1] END) AS h
+        FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws)))) AS i FROM w WHERE len(ws) > 0)),
+    n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    link AS MATERIALIZED (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+    reach AS (SELECT doc_id, doc_id AS r FROM w UNION SELECT reach.doc_id, CASE WHEN link.a = reach.r THEN link.b ELSE link.a END FROM reach JOIN link ON reach.r IN (link.a, link.b))
+    SELECT doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_table(spark, sf_dir, "documents"), 40)
 
@@ -74,6 +92,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_near_dedup": op3_near_dedup,
     "op4_sharding": op4_sharding,
     "op5_license_scan": op5_license_scan,
     "op7_exact_dedup": op7_exact_dedup,
@@ -81,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": op10_token_files,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_near_dedup": OP3_SQL,
     "op5_license_scan": licenses.scan_sql(),
     "op7_exact_dedup": OP7_SQL,
     "op9_chat_format": OP9_SQL,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, language_id, licenses, near_dedup, packing, sharding, token_files, toxicity
+from . import chat, decontamination, exact_dedup, language_id, licenses, near_dedup, packing, sharding, token_files, toxicity
 from .common import read_table
 
 
@@ -63,6 +63,10 @@ OP7_SQL = r"""
 """
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = chat.canonical_turns(read_table(spark, sf_dir, "conversations"))
     tricky = "\\### Assistant: </turn> ok"
@@ -106,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_license_scan": op5_license_scan,
     "op6_language_id": op6_language_id,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_decontamination": op8_decontamination,
     "op9_chat_format": op9_chat_format,
     "op10_token_files": op10_token_files,
 }

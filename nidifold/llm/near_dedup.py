@@ -144,8 +144,8 @@ def estimate(a: str, b: str):
     return (1 - differ / F.lit(PERMUTATIONS) - chance) / (1 - chance)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def measured(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) with the sizes of their full sets and of what these have in common: na, nb, common."""
     texts = docs.select("doc_id", "text")
     left = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "ta"}), "a")
     both = left.join(texts.withColumnsRenamed({"doc_id": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
@@ -160,14 +160,31 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
                 ends = np.cumsum(sizes)
                 sets = [values[e - n : e] for e, n in zip(ends, sizes, strict=True)]
                 at_ = coded.indices.to_numpy(zero_copy_only=False)
-                n = batch.num_rows
-                keep = []
-                for i, j in zip(at_[:n], at_[n:], strict=True):
-                    common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    keep.append(100 * common >= percent * (len(sets[i]) + len(sets[j]) - common))
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                i, j = at_[: batch.num_rows], at_[batch.num_rows :]
+                common = [len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i, j, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sizes[i], pa.int64()), pa.array(sizes[j], pa.int64()), pa.array(common, pa.int64())], ["a", "b", "na", "nb", "common"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long, na long, nb long, common long")
+
+
+def is_link(percent: int):
+    return 100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))
+
+
+def own_shingles(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """lead and own: how many shingles of a document are in no other document of ``ids`` (column lead)."""
+    texts = ids.select("lead").distinct().join(docs.select(F.col("doc_id").alias("lead"), "text"), "lead")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                values, sizes = shingle_sets(batch.column("text"), words)
+                yield pa.RecordBatch.from_arrays([batch.column("lead").take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array(values.view(np.int64))], ["lead", "h"])
+
+    rows = texts.select("lead", "text").mapInArrow(run, "lead long, h long")
+    single = rows.groupBy("h").agg(F.min("lead").alias("lead"), F.max("lead").alias("last")).filter("lead = last")
+    return single.groupBy("lead").agg(F.count(F.lit(1)).alias("own"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -183,13 +200,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     buckets = staged(buckets, "buckets")
     members = staged(join_counted(bands, buckets, ["band", "key"], "members", bands.count()), "members")
 
-    def linked(pairs: DataFrame, label: str) -> DataFrame:
-        a, b = (marks.select(F.col("lead").alias(x), F.col("n").alias(f"n{x}"), F.col("packed").alias(f"p{x}")) for x in "ab")
-        pairs = pairs.filter("a <> b").distinct().join(a, "a").join(b, "b")
-        likely = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (estimate("pa", "pb") >= percent / 100 - MARGIN)
-        return staged(confirmed(staged(pairs.filter(likely).select("a", "b").distinct(), f"{label}-pairs"), docs, words, percent).distinct(), label)
-
-    links = linked(members.select(F.col("lead").alias("a"), F.col("hub").alias("b")), "star-links")
+    # Stars: each member with its bucket's hub.
+    a, b = (marks.select(F.col("lead").alias(x), F.col("n").alias(f"n{x}"), F.col("packed").alias(f"p{x}")) for x in "ab")
+    pairs = members.select(F.col("lead").alias("a"), F.col("hub").alias("b")).filter("a <> b").distinct().join(a, "a").join(b, "b")
+    likely = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (estimate("pa", "pb") >= percent / 100 - MARGIN)
+    stars = staged(measured(staged(pairs.filter(likely).select("a", "b").distinct(), "star-pairs"), docs, words), "stars")
+    links = stars.filter(is_link(percent)).select("a", "b").distinct()
     own = components(links)
     of = own.select(F.col("node").alias("lead"), F.col("component").alias("c"))
     told = staged(members.join(of, "lead", "left").withColumn("c", F.coalesce("c", "lead")), "told")
@@ -197,15 +213,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     mixed_buckets = parts.groupBy("band", "key").agg(F.sum("n").alias("members"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "c"))["c"].alias("main"))
     mixed_buckets = staged(mixed_buckets.filter("parts > 1 AND members > 2").drop("parts"), "mixed-buckets")
     open_ = staged(join_counted(told, mixed_buckets, ["band", "key"], "members", told.count()), "open")
-    odd = open_.filter(F.col("c") != F.col("main")).select("band", "key", F.col("lead").alias("a"), F.col("c").alias("ca"))
-    odd = odd.join(marks.select(F.col("lead").alias("a"), F.col("n").alias("na"), F.col("packed").alias("pa")), "a")
-    rest = open_.select("band", "key", "hub", F.col("lead").alias("b"), F.col("c").alias("cb")).join(marks.select(F.col("lead").alias("b"), F.col("n").alias("nb"), F.col("packed").alias("pb")), "b")
-    near = (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (estimate("pa", "pb") >= percent / 100 - MARGIN) & (F.col("a") != F.col("hub")) & (F.col("b") != F.col("hub"))
-    more = odd.alias("o").join(rest.alias("r"), (F.col("o.band") == F.col("r.band")) & (F.col("o.key") == F.col("r.key")) & near).select("a", "b")
+    # What a member's set and the hub's do not share (d), less the shingles that no other open document has (e): two members
+    # of one hub differ in at least d + d' - 2 min(e, e') shingles, which rules most pairs out without a look at them.
+    if open_.limit(1).count():
+        d = stars.select(F.col("a").alias("lead"), F.col("b").alias("hub"), (F.col("na") + F.col("nb") - 2 * F.col("common")).alias("d"))
+        d = d.groupBy("lead", "hub").agg(F.when(F.count(F.lit(1)) == 1, F.max("d")).alias("d"))  # none for ids with several texts
+        open_ = open_.join(d, ["lead", "hub"], "left").join(own_shingles(open_, docs, words), "lead", "left")
+        open_ = open_.withColumn("d", F.when(F.col("lead") == F.col("hub"), 0).otherwise(F.col("d"))).withColumn("e", F.col("d") - F.when(F.col("lead") == F.col("hub"), 0).otherwise(F.coalesce("own", F.lit(0))))
+        open_ = staged(open_.join(marks, "lead").select("band", "key", "lead", "hub", "c", "main", "n", "packed", "d", "e"), "open-measured")
+    else:
+        open_ = open_.join(marks, "lead").select("*", F.lit(None).cast("long").alias("d"), F.lit(None).cast("long").alias("e"))
+    side = lambda x: open_.select("band", "key", F.col("hub").alias(f"hub{x}"), F.col("lead").alias(x), *[F.col(k).alias(k + x) for k in ("c", "n", "d", "e", "main")], F.col("packed").alias(f"p{x}"))
+    odd, rest = side("a").filter("ca <> maina").alias("o"), side("b").alias("r")
+    differ = F.col("da") + F.col("db") - 2 * F.least("ea", "eb")
+    possible = F.coalesce(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent), F.lit(True))
+    near = (F.col("ca") != F.col("cb")) & likely & possible & (F.col("a") != F.col("huba")) & (F.col("b") != F.col("huba"))
+    more = odd.join(rest, (F.col("o.band") == F.col("r.band")) & (F.col("o.key") == F.col("r.key")) & near).select("a", "b")
     pairs = staged(more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cross-pairs")
     every = own.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b")
     if pairs.limit(1).count():
-        every = every.unionByName(staged(confirmed(pairs, docs, words, percent).distinct(), "cross-links"))
+        every = every.unionByName(staged(measured(pairs, docs, words).filter(is_link(percent)).select("a", "b").distinct(), "cross-links"))
     # Members of a class are linked to its leader; a repeated doc_id with several texts joins its classes.
     several = rows.filter("set IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count_distinct("set").alias("sets")).filter("sets > 1").select("doc_id")
     several = staged(several, "several")

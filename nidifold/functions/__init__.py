@@ -1,0 +1,3 @@
+from . import aggregates, scalars, windows
+
+__all__ = ["aggregates", "scalars", "windows"]

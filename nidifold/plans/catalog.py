@@ -1,11 +1,10 @@
-"""The engine's queries and the SQL that gives the same rows."""
+"""All queries of the engine and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import core, nested, tpch  # noqa: F401
+from .common import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "top_orders_per_customer"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

@@ -36,13 +36,13 @@ from .components import components
 
 BANDS, PER_BAND, BITS = 25, 5, 2
 PERMUTATIONS = BANDS * PER_BAND
-#: Signature words of 64 bits, each with 32 groups of two bits.
-PACKED = -(-PERMUTATIONS * BITS // 64)
 #: By how much the estimate may lie below the threshold.
 MARGIN = 0.25
+#: Members of buckets with several components get a longer signature of the same kind, and so a smaller margin.
+LONG, LONG_MARGIN = 1024, 0.065
 _seeds = np.random.default_rng(20_240_601)
-FACTORS = _seeds.integers(1, 1 << 32, PERMUTATIONS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-OFFSETS = _seeds.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint64).astype(np.uint32)
+FACTORS = _seeds.integers(1, 1 << 32, PERMUTATIONS + LONG, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+OFFSETS = _seeds.integers(0, 1 << 32, PERMUTATIONS + LONG, dtype=np.uint64).astype(np.uint32)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,18 +87,27 @@ def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return value[new], np.bincount(row[new], minlength=len(texts))
 
 
-def minima(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The PERMUTATIONS minima of each non-empty set, as rows."""
+def minima(values: np.ndarray, sizes: np.ndarray, first: int = 0, n: int = PERMUTATIONS) -> np.ndarray:
+    """``n`` minima, from the ``first`` permutation on, of each non-empty set, as rows."""
     there = sizes > 0
     begin = (np.cumsum(sizes) - sizes)[there]
     x = (values >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((PERMUTATIONS, len(begin)), np.uint32)
+    out = np.empty((n, len(begin)), np.uint32)
     if len(begin):
-        for k in range(PERMUTATIONS):
-            out[k] = np.minimum.reduceat(x * FACTORS[k] + OFFSETS[k], begin)
+        for k in range(n):
+            out[k] = np.minimum.reduceat(x * FACTORS[first + k] + OFFSETS[first + k], begin)
     return out.T
 
 
+def packed_bits(low: np.ndarray) -> np.ndarray:
+    """The low bits of minima, mixed, in words of 64 bits."""
+    words = -(-low.shape[1] * BITS // 64)
+    groups = np.zeros((len(low), words * 64 // BITS), np.uint64)
+    groups[:, : low.shape[1]] = mixed(low.astype(np.uint64)) & np.uint64((1 << BITS) - 1)
+    shifts = np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)
+    return (groups.reshape(len(low), words, -1) << shifts).sum(axis=2, dtype=np.uint64).view(np.int64)
+
+
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, set (a 128-bit digest of the sorted set; null if it is empty), packed (the b-bit signature) and
     bands of each row."""
@@ -115,10 +124,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 digest: list[bytes | None] = [None] * batch.num_rows
                 for i in there:
                     digest[i] = blake2b(values[ends[i] - sizes[i] : ends[i]].tobytes(), digest_size=16).digest()
-                groups = np.zeros((len(there), PACKED * 64 // BITS), np.uint64)
-                groups[:, :PERMUTATIONS] = mixed(low.astype(np.uint64)) & np.uint64((1 << BITS) - 1)
-                shifts = np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)
-                packed = (groups.reshape(len(there), PACKED, -1) << shifts).sum(axis=2, dtype=np.uint64).view(np.int64)
+                packed = packed_bits(low)
                 keys = np.zeros((len(there), BANDS), np.uint64)
                 with np.errstate(over="ignore"):
                     for k in range(PER_BAND):
@@ -135,18 +141,17 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles long, set binary, packed array<long>, bands array<long>")
 
 
-def estimate(a: str, b: str):
+def estimate(a: str, b: str, permutations: int = PERMUTATIONS):
     """The similarity that two packed signatures show: the share of equal bit groups, less what chance makes equal."""
     low = F.lit(0x5555555555555555).cast("long")
     unlike = lambda x: x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(low)
-    differ = sum((F.bit_count(unlike(F.col(a)[k].bitwiseXOR(F.col(b)[k]))) for k in range(PACKED)), F.lit(0))
+    differ = sum((F.bit_count(unlike(F.col(a)[k].bitwiseXOR(F.col(b)[k]))) for k in range(-(-permutations * BITS // 64))), F.lit(0))
     chance = 1 / (1 << BITS)
-    return (1 - differ / F.lit(PERMUTATIONS) - chance) / (1 - chance)
+    return (1 - differ / F.lit(permutations) - chance) / (1 - chance)
 
 
-def measured(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+def measured(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """The pairs (a, b) with the sizes of their full sets and of what these have in common: na, nb, common."""
-    texts = docs.select("doc_id", "text")
     left = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "ta"}), "a")
     both = left.join(texts.withColumnsRenamed({"doc_id": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
 
@@ -171,9 +176,8 @@ def is_link(percent: int):
     return 100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))
 
 
-def own_shingles(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """lead and own: how many shingles of a document are in no other document of ``ids`` (column lead)."""
-    texts = ids.select("lead").distinct().join(docs.select(F.col("doc_id").alias("lead"), "text"), "lead")
+def own_shingles(texts: DataFrame, words: int) -> DataFrame:
+    """lead and own: how many shingles of a document are in no other document of ``texts`` (lead, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -187,6 +191,22 @@ def own_shingles(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     return single.groupBy("lead").agg(F.count(F.lit(1)).alias("own"))
 
 
+def long_signatures(texts: DataFrame, words: int) -> DataFrame:
+    """lead and long, a packed signature of LONG minima; null for an id with several texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                values, sizes = shingle_sets(batch.column("text"), words)
+                packed = packed_bits(minima(values, sizes, PERMUTATIONS, LONG))
+                leads = batch.column("lead").filter(pa.array(sizes > 0))
+                yield pa.RecordBatch.from_arrays([leads, pa.array(list(packed), pa.list_(pa.int64()))], ["lead", "long"])
+
+    rows = texts.select("lead", "text").mapInArrow(run, "lead long, long array<long>")
+    return rows.groupBy("lead").agg(F.when(F.count(F.lit(1)) == 1, F.first("long")).alias("long"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_shingles, component_id, kept."""
     rows = staged(signatures(docs, words), "signatures")
@@ -200,11 +220,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     buckets = staged(buckets, "buckets")
     members = staged(join_counted(bands, buckets, ["band", "key"], "members", bands.count()), "members")
 
+    # The texts of documents that are in a bucket with others: all that is ever compared.
+    texts = docs.join(members.select(F.col("lead").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = staged(texts.select("doc_id", "text"), "texts")
+
     # Stars: each member with its bucket's hub.
     a, b = (marks.select(F.col("lead").alias(x), F.col("n").alias(f"n{x}"), F.col("packed").alias(f"p{x}")) for x in "ab")
     pairs = members.select(F.col("lead").alias("a"), F.col("hub").alias("b")).filter("a <> b").distinct().join(a, "a").join(b, "b")
     likely = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (estimate("pa", "pb") >= percent / 100 - MARGIN)
-    stars = staged(measured(staged(pairs.filter(likely).select("a", "b").distinct(), "star-pairs"), docs, words), "stars")
+    stars = staged(measured(staged(pairs.filter(likely).select("a", "b").distinct(), "star-pairs"), texts, words), "stars")
     links = stars.filter(is_link(percent)).select("a", "b").distinct()
     own = components(links)
     of = own.select(F.col("node").alias("lead"), F.col("component").alias("c"))
@@ -218,21 +242,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     if open_.limit(1).count():
         d = stars.select(F.col("a").alias("lead"), F.col("b").alias("hub"), (F.col("na") + F.col("nb") - 2 * F.col("common")).alias("d"))
         d = d.groupBy("lead", "hub").agg(F.when(F.count(F.lit(1)) == 1, F.max("d")).alias("d"))  # none for ids with several texts
-        open_ = open_.join(d, ["lead", "hub"], "left").join(own_shingles(open_, docs, words), "lead", "left")
+        open_texts = staged(texts.withColumnRenamed("doc_id", "lead").join(open_.select("lead").distinct(), "lead", "left_semi"), "open-texts")
+        open_ = open_.join(d, ["lead", "hub"], "left").join(own_shingles(open_texts, words).join(long_signatures(open_texts, words), "lead", "full"), "lead", "left")
         open_ = open_.withColumn("d", F.when(F.col("lead") == F.col("hub"), 0).otherwise(F.col("d"))).withColumn("e", F.col("d") - F.when(F.col("lead") == F.col("hub"), 0).otherwise(F.coalesce("own", F.lit(0))))
-        open_ = staged(open_.join(marks, "lead").select("band", "key", "lead", "hub", "c", "main", "n", "packed", "d", "e"), "open-measured")
+        open_ = staged(open_.join(marks, "lead").select("band", "key", "lead", "hub", "c", "main", "n", "long", "d", "e"), "open-measured")
     else:
-        open_ = open_.join(marks, "lead").select("*", F.lit(None).cast("long").alias("d"), F.lit(None).cast("long").alias("e"))
-    side = lambda x: open_.select("band", "key", F.col("hub").alias(f"hub{x}"), F.col("lead").alias(x), *[F.col(k).alias(k + x) for k in ("c", "n", "d", "e", "main")], F.col("packed").alias(f"p{x}"))
+        open_ = open_.join(marks, "lead").select("*", F.lit(None).cast("array<long>").alias("long"), F.lit(None).cast("long").alias("d"), F.lit(None).cast("long").alias("e"))
+    side = lambda x: open_.select("band", "key", F.col("hub").alias(f"hub{x}"), F.col("lead").alias(x), *[F.col(k).alias(k + x) for k in ("c", "n", "d", "e", "main")], F.col("long").alias(f"long{x}"))
     odd, rest = side("a").filter("ca <> maina").alias("o"), side("b").alias("r")
     differ = F.col("da") + F.col("db") - 2 * F.least("ea", "eb")
     possible = F.coalesce(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent), F.lit(True))
-    near = (F.col("ca") != F.col("cb")) & likely & possible & (F.col("a") != F.col("huba")) & (F.col("b") != F.col("huba"))
+    likely = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & F.coalesce(estimate("longa", "longb", LONG) >= percent / 100 - LONG_MARGIN, F.lit(True))
+    near = (F.col("ca") != F.col("cb")) & possible & likely & (F.col("a") != F.col("huba")) & (F.col("b") != F.col("huba"))
     more = odd.join(rest, (F.col("o.band") == F.col("r.band")) & (F.col("o.key") == F.col("r.key")) & near).select("a", "b")
     pairs = staged(more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cross-pairs")
     every = own.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b")
     if pairs.limit(1).count():
-        every = every.unionByName(staged(measured(pairs, docs, words).filter(is_link(percent)).select("a", "b").distinct(), "cross-links"))
+        every = every.unionByName(staged(measured(pairs, texts, words).filter(is_link(percent)).select("a", "b").distinct(), "cross-links"))
     # Members of a class are linked to its leader; a repeated doc_id with several texts joins its classes.
     several = rows.filter("set IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count_distinct("set").alias("sets")).filter("sets > 1").select("doc_id")
     several = staged(several, "several")

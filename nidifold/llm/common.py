@@ -34,6 +34,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sends texts to Python in small batches, so that long ones need no more memory than a worker has. What the session
+    sets itself is left as it is."""
+    for name, value in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 16 << 20)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import forget
+
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Symbols of the model: 0 the edge of a word, 1 to 26 the letters (without accents), 27 any other letter.
 SYMBOLS = 28
@@ -47,6 +49,7 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
     """Counts of all character trigrams of all texts; SYMBOLS ** 3 sums reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         total = np.zeros(SYMBOLS**3, np.int64)
         for batch in batches:
             texts = [x for x in batch.column("text").to_pylist() if x]
@@ -54,7 +57,7 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
             for k, text in enumerate(texts):
                 part.append(text)
                 size += len(text)
-                if size > 2_000_000 or k + 1 == len(texts):
+                if size > 500_000 or k + 1 == len(texts):
                     s = symbols("\n".join(part)).astype(np.int32)
                     total += np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=SYMBOLS**3)
                     part, size = [], 0

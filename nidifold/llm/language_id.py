@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 ROWS_PER_LANGUAGE = 1_000
 BUCKETS = 2_048
 #: Languages merge into one family while their mean vectors are this much alike, of the range between the least and the
@@ -182,6 +184,7 @@ def fitted(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> Discrimina
 
 def languages(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each row of ``docs``."""
+    small_batches(docs.sparkSession)
     model = fitted(docs, per_language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,8 +31,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, join_counted, staged
+from .common import ASCII_SPACE, join_counted, small_batches, staged
 from .components import components
+from .tokens import forget
 
 BANDS, PER_BAND, BITS = 25, 5, 2
 PERMUTATIONS = BANDS * PER_BAND
@@ -114,6 +115,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
@@ -209,6 +211,7 @@ def long_signatures(texts: DataFrame, words: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    small_batches(docs.sparkSession)
     rows = staged(signatures(docs, words), "signatures")
     # Equal sets are one class, led by its least doc_id.
     leaders = rows.filter("set IS NOT NULL AND doc_id IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("packed").alias("packed"), F.first("bands").alias("bands"))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import small_batches, staged
 from .tokens import crc_of_ids, encoder, with_end
 
 PIECE = "piece int, start long, length long, ids_crc32 long"
@@ -39,6 +39,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id:
 
     Only documents of more than ``capacity`` ids are cut; all pieces but the first then have ``capacity`` ids.
     """
+    small_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

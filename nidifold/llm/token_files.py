@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, small_batches
 from .tokens import crc_of_ids, encoder, with_end
 
 LANES, EVERY, SCALE = 32, 512, 20
@@ -217,6 +217,7 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
 def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, end_id: int = 2) -> str:
     """Writes a file set and returns its folder."""
     spark = docs.sparkSession
+    small_batches(spark)
     path = path or f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     id_type = docs.schema["doc_id"].dataType.simpleString()
     token_ids(docs, vocabulary, end_id).write.option("compression", "none").parquet(f"{path}/ids")

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces remembered by one Python worker; beyond this, others are encoded in each batch where they occur.
-MEMORY = 600_000
+MEMORY = 500_000
 MARK = "\x01"
 
 
@@ -158,6 +158,12 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def forget() -> None:
+    """Frees the encoders of this Python worker, which Spark uses again for other work."""
+    encoder.cache_clear()
+    pa.default_memory_pool().release_unused()
+
+
 def with_end(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids with ``end_id`` after each text, as little-endian unsigned 32-bit integers, and the texts' new sizes."""
     out = np.empty(len(ids) + len(sizes), dtype="<u4")

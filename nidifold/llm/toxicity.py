@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import deobfuscation as deob
-from .common import staged
+from .common import small_batches, staged
+from .tokens import forget
 
 TRAINING_ROWS = 10_000
 #: Features kept for the regression: those in so many toxic training rows at least, by the strongest evidence.
@@ -187,8 +188,8 @@ def learned(docs: DataFrame, labels: DataFrame, costs: np.ndarray, most: int = T
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features(costs)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
                 row, found = make.of_texts(batch.column("text"))
                 label = batch.column("label").to_numpy(zero_copy_only=False)[row]
                 name, where = np.unique(found, return_inverse=True)
@@ -224,14 +225,16 @@ def learned(docs: DataFrame, labels: DataFrame, costs: np.ndarray, most: int = T
 
 def scores(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted of each row of ``docs``."""
+    small_batches(docs.sparkSession)
     costs = deob.model(deob.trigram_counts(docs))
     bias, wanted, weights = learned(docs, labels, costs, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         make, bases = Features(costs), bases_of(wanted)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
                 z = np.full(batch.num_rows, bias)
                 if len(wanted):
                     rows, found = make.of_texts(batch.column("text"), wanted, bases)

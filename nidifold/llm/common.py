@@ -51,31 +51,26 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
-#: A key counts as hot when it holds more than one row in this many. So there are fewer than this many hot keys, and a
-#: table with one row for each hot key may be broadcast.
+#: A key counts as hot when it holds more than one row in this many. So there are fewer than this many hot keys: their hashes
+#: may go to the driver, and a table with one row for each of them may be broadcast.
 HOT_SHARE = 1000
 
 
 def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
     """Equi-join (nulls match nulls) with a ``right`` that has one row per key and the key's row count in ``count``.
 
-    Hot keys are joined by a broadcast of under HOT_SHARE rows, so their rows stay where they are; all others are
-    shuffled. Both inputs are read twice: stage them first. ``count`` does not appear in the result.
+    Rows with hot keys, told by the keys' hash, are joined by a broadcast and stay where they are; all others are shuffled.
+    Both inputs are read twice: stage them first. ``count`` does not appear in the result.
     """
     values = [c for c in right.columns if c not in keys and c != count]
     as_right = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *values, count)
     on = lambda: reduce(lambda a, b: a & b, [same(F.col(k), F.col(f"__{k}")) for k in keys])
-    is_hot = F.col(count) * F.lit(HOT_SHARE) > F.lit(total)
-    hot, cold = as_right.filter(is_hot), as_right.filter(~is_hot)
     out = [*left.columns, *values]
-    near = left.join(F.broadcast(hot), on(), "inner").select(*out)
-    rest = left.join(F.broadcast(hot.select(*[f"__{k}" for k in keys])), on(), "left_anti")
-    return near.unionByName(rest.join(cold, on(), how).select(*out))
+    hot = [r[0] for r in right.filter(F.col(count) * F.lit(HOT_SHARE) > F.lit(total)).select(F.xxhash64(*keys)).distinct().collect()]
+    if not hot:
+        return left.join(as_right, on(), how).select(*out)
+    hot_left, hot_right = F.xxhash64(*keys).isin(hot), F.xxhash64(*[f"__{k}" for k in keys]).isin(hot)
+    near = left.filter(hot_left).join(F.broadcast(as_right.filter(hot_right)), on(), how)
+    far = left.filter(~hot_left).join(as_right.filter(~hot_right), on(), how)
+    return near.select(*out).unionByName(far.select(*out))
 
-
-def unused(columns: list[str], name: str) -> str:
-    """``name``, with underscores added until no column has it (in any case of letters)."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name

@@ -220,7 +220,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     marks = leaders.select("lead", "n", "packed")
     bands = staged(leaders.select("lead", F.posexplode("bands").alias("band", "key")), "bands")
     buckets = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members"), F.min("lead").alias("hub")).filter("members > 1")
-    buckets = staged(buckets, "buckets")
+    # The hub's signature comes with its bucket, so that no join has to bring all of a hub's members together. It is left
+    # out for an id with several texts.
+    hubs = marks.groupBy(F.col("lead").alias("hub")).agg(*[F.when(F.count(F.lit(1)) == 1, F.first(c)).alias(x) for c, x in (("n", "nb"), ("packed", "pb"))])
+    buckets = staged(buckets.join(hubs, "hub"), "buckets")
     members = staged(join_counted(bands, buckets, ["band", "key"], "members", bands.count()), "members")
 
     # The texts of documents that are in a bucket with others: all that is ever compared.
@@ -228,14 +231,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     texts = staged(texts.select("doc_id", "text"), "texts")
 
     # Stars: each member with its bucket's hub.
-    a, b = (marks.select(F.col("lead").alias(x), F.col("n").alias(f"n{x}"), F.col("packed").alias(f"p{x}")) for x in "ab")
-    pairs = members.select(F.col("lead").alias("a"), F.col("hub").alias("b")).filter("a <> b").distinct().join(a, "a").join(b, "b")
+    a = marks.select(F.col("lead").alias("a"), F.col("n").alias("na"), F.col("packed").alias("pa"))
+    pairs = members.select(F.col("lead").alias("a"), F.col("hub").alias("b"), "nb", "pb").filter("a <> b").dropDuplicates(["a", "b"]).join(a, "a")
     likely = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (estimate("pa", "pb") >= percent / 100 - MARGIN)
+    likely = F.coalesce(likely, F.lit(True))
     stars = staged(measured(staged(pairs.filter(likely).select("a", "b").distinct(), "star-pairs"), texts, words), "stars")
     links = stars.filter(is_link(percent)).select("a", "b").distinct()
     own = components(links)
     of = own.select(F.col("node").alias("lead"), F.col("component").alias("c"))
-    told = staged(members.join(of, "lead", "left").withColumn("c", F.coalesce("c", "lead")), "told")
+    told = staged(members.drop("nb", "pb").join(of, "lead", "left").withColumn("c", F.coalesce("c", "lead")), "told")
     parts = told.groupBy("band", "key", "c").agg(F.count(F.lit(1)).alias("n"))
     mixed_buckets = parts.groupBy("band", "key").agg(F.sum("n").alias("members"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "c"))["c"].alias("main"))
     mixed_buckets = staged(mixed_buckets.filter("parts > 1 AND members > 2").drop("parts"), "mixed-buckets")

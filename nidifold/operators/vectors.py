@@ -203,9 +203,13 @@ class Vector:
     def nest_join(self, other: Vector, on: Predicate) -> Vector:
         """For each element the list of its partners: an inner vector of this one, holding pairs."""
         flat = self._join(other, self._same_list(other), on)
-        left, right = sides()
-        pairs = self._pair(flat, other, [left(c) for c in self.key])
-        return replace(pairs, ascending=pairs.ascending)
+        # Within the list of one left element the left order is constant, so the right order is all of it.
+        pairs = self._pair(flat, other, [sides()[0](c) for c in self.key])
+        n = len(self.ascending)
+        roles = [*pairs.seg, *pairs.key, *pairs.ord[n:], *pairs.items]
+        names = [*pairs.seg, *pairs.key, *_names("o", len(pairs.ord) - n), *pairs.items]
+        frame = pairs.frame.select(*[F.col(c).alias(x) for c, x in zip(roles, names, strict=True)])
+        return Vector(frame, pairs.n_seg, pairs.n_key, pairs.ascending[n:], pairs.items)
 
     def group_join(self, other: Vector, on: Predicate, aggregates: Callable[[Callable[[str], Column], Callable[[str], Column]], Sequence[Aggregate]]) -> Vector:
         """Each element with aggregates over its partners, none lost; what an aggregate sees are partners only."""

@@ -349,6 +349,10 @@ class Vector:
         """Lists renamed by a map."""
         return self._mapped(m, copies=False)
 
+    def app_sort(self) -> Vector:
+        """Nothing: with natural keys a sorted outer list needs no new names for its inner ones."""
+        return self
+
     def app_rep(self, m: Map) -> Vector:
         """Lists copied to all that a map names for them; the copies' elements get keys of their own."""
         return self._mapped(m, copies=True)

@@ -9,7 +9,7 @@ from ..functions import scalars as sc
 from ..operators import relational as rel
 from ..operators.output import positions
 from ..operators.simplify import group_by_key
-from ..operators.vectors import Map
+from ..operators.vectors import Map, composed
 from ..sources.tables import KEYS, as_list, frame, literal, literal_lists, table
 from .common import double, money, query
 
@@ -269,6 +269,23 @@ def app_rep(spark, sf_dir):
     return pairs.replicate_nest(orders.project(o_orderkey=F.col("o_orderkey")).app_rep(copies)).frame.select("c_custkey", "n_name", "o_orderkey")
 
 
+@query("SELECT c_nationkey, o_orderkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderkey) AS pos FROM customer JOIN orders ON o_custkey = c_custkey")
+def app_key(spark, sf_dir):
+    """Lists of orders by customer, renamed to the customers' nations, so that they become one list of each nation."""
+    customers = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey").group(n=F.col("c_nationkey"))[1]
+    orders = customers.unsegment().nest_join(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey"), lambda l, r: l("c_custkey") == r("o_custkey"))  # noqa: E741
+    return positions(orders.app_key(customers.key_map()).app_sort()).select("c_nationkey", "o_orderkey", "pos")
+
+
+@query("SELECT n_regionkey, c_custkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY c_custkey) AS pos FROM nation JOIN customer ON c_nationkey = n_nationkey")
+def compose_maps(spark, sf_dir):
+    """Customers in lists by nation, brought to lists by region by two maps in a row."""
+    nations = table(spark, sf_dir, "nation", "n_nationkey", "n_regionkey").group(r=F.col("n_regionkey"))[1]
+    customers = nations.unsegment().nest_join(table(spark, sf_dir, "customer", "c_custkey", "c_nationkey"), lambda l, r: l("n_nationkey") == r("c_nationkey"))  # noqa: E741
+    same = Map(nations.frame.select(F.col("_k0").alias("_f0"), F.col("_k0").alias("_t0")), 1, 1)
+    return positions(customers.app_key(composed(same, nations.key_map()))).select("n_regionkey", "c_custkey", "pos")
+
+
 # Scalars
 
 

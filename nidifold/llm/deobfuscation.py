@@ -116,10 +116,16 @@ def restored(written: str, costs: np.ndarray) -> str:
 DISGUISED = r"\pL[0-9@$!|+(*€]+\pL|^[0-9@$!|€*]+\pL|\pL[0-9@$€]+$|" + "|".join(f"{c}{{3}}" for c in LETTERS)
 #: Letters (or characters that stand for some) one by one, with the same kind of gap between them.
 SPACED = r"(?:^|[\s\"'(])((?:[\pL0-9@$!|€*][ ._\-]){2,}[\pL0-9@$!|€*])(?:$|[\s.,;:!?\"')])"
-_SPACED = re.compile(r"(?<![^\s\"'(])((?:[^\W_]|[@$!|€*])(?:[ ._\-](?:[^\W_]|[@$!|€*])){2,})(?![^\s.,;:!?\"')])")
+_ONE = r"(?:[^\W_]|[@$!|€*])"
+_SPACED = re.compile(rf"(?<![^\s\"'(])({_ONE}([ ._\-])(?:{_ONE}\2)+{_ONE})(?![^\s.,;:!?\"')])")
 
 
 def joined(text: str) -> list[str]:
-    """Words that a text spells one character at a time."""
-    words = (re.sub(r"[ ._\-]", "", m[1]) for m in _SPACED.finditer(text))
-    return [w for w in words if any(c.isalpha() for c in w)]
+    """Words that a text spells one character at a time. Between blanks the first or last character may be a word of its
+    own, so the rest is given as well."""
+    out = []
+    for m in _SPACED.finditer(text):
+        word = re.sub(r"[ ._\-]", "", m[1])
+        if any(c.isalpha() for c in word):
+            out += [word, word[1:], word[:-1]] if m[2] == " " else [word]
+    return out

@@ -3,6 +3,7 @@
 import corpus_pipeline
 
 from nidifold.llm import exact_dedup, near_dedup, queries
+from nidifold.llm.common import release, staged
 
 
 def test_stages_keep_columns_and_take_effect(spark, sf_dir):
@@ -25,3 +26,12 @@ def test_stages_keep_columns_and_take_effect(spark, sf_dir):
 
 def test_all_ten_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_staged_tables_can_be_released(spark):
+    df = staged(spark.range(5).toDF("x"), "released")
+    assert df.count() == 5 and df.columns == ["x"]
+    (path,) = {p.rsplit("/", 1)[0] for p in df.inputFiles()}
+    release(spark)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)

@@ -326,7 +326,8 @@ def test_restoring_disguised_words():
     costs = deob.model(counts)
     for written, meant in {"1d10t": "idiot", "id!ot": "idiot", "$tup1d": "stupid", "idiooooot": "idiot", "l0ser": "loser", "l*ser": "loser", "the": "the"}.items():
         assert deob.restored(written, costs) == meant
-    assert deob.joined("you i d i o t and s.t.u.p.i.d!") == ["idiot", "stupid"]
+    assert deob.joined("you, i d i o t and s.t.u.p.i.d!") == ["idiot", "diot", "idio", "stupid"]
+    assert "idiot" in deob.joined("what a i d i o t")
     assert deob.joined("a b") == []
 
 

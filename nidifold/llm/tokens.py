@@ -33,6 +33,7 @@ class WordEncoder:
         # Byte-level vocabularies keep white space as ids; the others drop it, and need another piece between words.
         self.keeps_space = bool(self._plain("\n"))
         self.between = "\n" if self.keeps_space else " ` "
+        self.ignores_case = self._plain("AZ") == self._plain("az")
         (self.between_id,) = self._plain(self.between)
         self.apart = r"\n|[\s\p{Z}\x0b\x1c-\x1f\x{85}]$|^[\t\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]" if self.keeps_space else "`"
         self.clear()
@@ -43,6 +44,7 @@ class WordEncoder:
         self.parts: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
         self.table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        self._learn([".", ","], self.index)
 
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -89,11 +91,15 @@ class WordEncoder:
             marked = pc.replace_substring(pc.replace_substring(texts, " ", MARK + " "), "\n", MARK + "\n" + MARK)
             lists = pc.split_pattern(marked, MARK)
         else:
-            lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+            plain = pc.replace_substring(texts, "\n", " ")
+            lists = pc.split_pattern(pc.ascii_lower(plain) if self.ignores_case else plain, " ")
         if isinstance(lists, pa.ChunkedArray):
             lists = lists.combine_chunks()
         words = lists.flatten().dictionary_encode()
-        names = words.dictionary.to_pylist()
+        # A full stop or comma after a letter or digit is a piece of its own to both pre-tokenizers.
+        stop = pc.match_substring_regex(words.dictionary, r"[\pL\pN][.,]$")
+        bare = pc.if_else(stop, pc.utf8_slice_codeunits(words.dictionary, 0, -1), words.dictionary).dictionary_encode()
+        names = bare.dictionary.to_pylist()
         get = self.index.get
         numbers = np.array([get(w, -1) for w in names], dtype=np.int64)
         missing = np.flatnonzero(numbers < 0)
@@ -106,7 +112,13 @@ class WordEncoder:
         self._learn([w for w in new if w], keep)
         numbers[missing] = [keep.get(w, -1) for w in new]
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        return (numbers[words.indices.to_numpy(zero_copy_only=False)] if len(names) else np.zeros(0, np.int64)), counts
+        if not len(names):
+            return np.zeros(0, np.int64), counts
+        dots = pc.ends_with(words.dictionary, ".").to_numpy(zero_copy_only=False)
+        pairs = np.full((len(words.dictionary), 2), -1, np.int64)
+        pairs[:, 0] = numbers[bare.indices.to_numpy(zero_copy_only=False)]
+        pairs[:, 1] = np.where(stop.to_numpy(zero_copy_only=False), np.where(dots, self.index["."], self.index[","]), -1)
+        return pairs[words.indices.to_numpy(zero_copy_only=False)].reshape(-1), 2 * counts
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if isinstance(texts, pa.ChunkedArray):

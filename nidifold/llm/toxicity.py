@@ -5,8 +5,8 @@ model counted over all texts (see deobfuscation). A text's features are its word
 of four to seven letters, each with how many of the text's distinct words share it (at least one, two, three); a logistic
 regression over those features that training rows show to matter gives the score.
 
-The regression is fitted on at most TRAINING_ROWS labelled rows, near copies counted once (rows whose feature sets have an
-equal minimum under one of two hashes); rows are chosen by a hash of their id. Everything else covers all rows.
+The regression is fitted on at most TRAINING_ROWS labelled rows, near copies counted once (rows that share one of
+two MinHash bands of five minima); rows are chosen by a hash of their id. Everything else covers all rows.
 
 Defined cases: a null or empty text has no features and gets the score of the intercept; labels that are null are not
 learned from; a doc_id labelled twice is toxic if one label says so; without labels of both kinds every score is 0; repeated
@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 
 from . import deobfuscation as deob
 from .common import small_batches, staged
+from .near_dedup import MIX, minima, mixed, shingle_sets
 from .tokens import forget
 
 TRAINING_ROWS = 10_000
 #: Features kept for the regression: those in so many toxic training rows at least, by the strongest evidence.
 LEAST_ROWS, MOST_FEATURES = 4, 5_000
-SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+#: Tells features for more words from those for fewer.
+COUNTED = np.uint64(0x165667B19E3779F9)
 #: A word's features: the word itself and its beginnings of these lengths, and up to how many distinct words are counted.
 BEGINNINGS, MOST_WORDS = (4, 5, 6, 7), 3
 
@@ -115,7 +117,7 @@ class Features:
         distinct = np.add.reduceat(new.astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
         rows, feature = rows[starts], feature[starts]
         with np.errstate(over="ignore"):
-            parts = [(rows[distinct > k], feature[distinct > k] + SEEDS[2] * np.uint64(k)) for k in range(MOST_WORDS)]
+            parts = [(rows[distinct > k], feature[distinct > k] + COUNTED * np.uint64(k)) for k in range(MOST_WORDS)]
         rows, feature = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         if wanted is not None:
             use = np.isin(feature, wanted)
@@ -127,10 +129,10 @@ class Features:
 def bases_of(wanted: np.ndarray) -> np.ndarray:
     """What the wanted features may be made of."""
     with np.errstate(over="ignore"):
-        return np.unique(np.concatenate([wanted - SEEDS[2] * np.uint64(k) for k in range(MOST_WORDS)]))
+        return np.unique(np.concatenate([wanted - COUNTED * np.uint64(k) for k in range(MOST_WORDS)]))
 
 
-def logistic(rows: np.ndarray, columns: np.ndarray, label: np.ndarray, width: int, l2: float = 0.05, rounds: int = 300) -> tuple[float, np.ndarray]:
+def logistic(rows: np.ndarray, columns: np.ndarray, label: np.ndarray, width: int, l2: float = 0.2, rounds: int = 500) -> tuple[float, np.ndarray]:
     """Intercept and weights of a logistic regression on 0/1 features, by accelerated gradient steps."""
     n = len(label)
     w, v, bias, bias_v = np.zeros(width), np.zeros(width), 0.0, 0.0
@@ -162,17 +164,18 @@ def learned(docs: DataFrame, labels: DataFrame, costs: np.ndarray, most: int = T
     """Intercept, sorted features and their weights."""
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Features(costs)
         for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
-                rows, found = make.of_texts(batch.column("text"))
-                ends = np.cumsum(np.bincount(rows, minlength=batch.num_rows))
-                least = []
-                for seed in SEEDS[:2]:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                values, sizes = shingle_sets(batch.column("text"), 2)
+                low = minima(values, sizes, 0, 10).astype(np.uint64)
+                least = np.tile(np.arange(batch.num_rows), (2, 1))  # an empty text is like no other
+                for k in range(2):
+                    mark = np.zeros(len(low), np.uint64)
                     with np.errstate(over="ignore"):
-                        h = (found ^ seed) * np.uint64(0xBF58476D1CE4E5B9)
-                    least.append([int(h[b:e].min() >> np.uint64(1)) if e > b else i for i, (b, e) in enumerate(zip([0, *ends[:-1]], ends, strict=True))])
+                        for j in range(5):
+                            mark = mixed(mark * MIX + low[:, 5 * k + j])
+                    least[k, sizes > 0] = (mark >> np.uint64(1)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least[0], pa.int64()), pa.array(least[1], pa.int64())], ["text", "label", "m0", "m1"])
 
     rows = training_rows(docs, labels, most).mapInArrow(marked, "text string, label double, m0 long, m1 long")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,8 +48,12 @@ def release(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Sends texts to Python in small batches, so that long ones need no more memory than a worker has. What the session
-    sets itself is left as it is."""
+    """Sends texts to Python in small batches, so that long ones need no more memory than a worker has (what the session sets
+    itself is left as it is), and lets workers find this package where it is not installed but lies at the same place."""
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
     for name, value in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 16 << 20)):
         name = f"spark.sql.execution.arrow.{name}"
         if spark.conf.get(name, None) is None:

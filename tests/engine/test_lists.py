@@ -82,7 +82,7 @@ def test_nesting_operators(spark, values):
     assert [[(g.g, [m.x for m in g.members]) for g in row.groups] for row in to_nested(tree).collect()] == want
     tags = outer.project(t=F.col("_k0") * 10)
     assert top(outer.project(k=F.col("_k0")).align(tags), "k", "t") == [(k, 10 * k) for k in range(len(values))]
-    copies = inner.app_rep(composed(outer.key_map(), outer.unit_map()) if False else _doubled(outer))
+    copies = inner.app_rep(_doubled(outer))
     assert sorted((r._s0, r.x) for r in copies.frame.collect()) == sorted((100 * c + k, x) for k, x in flat for c in (1, 2))
 
 

@@ -48,7 +48,9 @@ def letters(text: str) -> np.ndarray:
                 lower[k] = ord(chr(k).lower()[0])
         _tables["lower"] = lower
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    out = np.where(codes < 1 << 16, _tables["lower"][np.minimum(codes, 0xFFFF)], codes)
+    out = _tables["lower"][np.minimum(codes, 0xFFFF)]
+    if len(codes) and codes.max() >= 1 << 16:
+        out = np.where(codes >= 1 << 16, [c if c >= 1 << 16 and chr(c).isalpha() else 0 for c in codes.tolist()], out)
     out = np.concatenate([[0], out, [0]]).astype(np.uint32)
     keep = np.ones(len(out), bool)
     keep[1:] = (out[1:] != 0) | (out[:-1] != 0)

@@ -356,10 +356,11 @@ def test_language_id(spark):
     rng = np.random.default_rng(5)
     parts = {"aa": ["the", "ing", "ed", "th", "and"], "ab": ["the", "ung", "ch", "th", "und"], "ba": ["ción", "ado", "la", "que"], "bb": ["tion", "eau", "la", "que", "é"]}
     rows = [(k, "".join(rng.choice(parts[lang], 3)) + " " + " ".join("".join(rng.choice(parts[lang], 2)) for _ in range(20)), lang) for k, lang in enumerate(list(parts) * 60)]
-    rows += [(1000, None, "aa"), (1001, "123 !!", None), (1002, "", "ba"), (None, "the and", None)]
+    rows += [(1000, None, "aa"), (1001, "123 !!", None), (1002, "", "ba"), (1003, "😀 1!", None), (1004, "𠀀", None), (None, "the and", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r.doc_id: r for r in language_id.languages(docs).collect()}
-    assert all(got[k].lang_pred == "und" and got[k].score == 0 for k in (1000, 1001, 1002))
+    assert all(got[k].lang_pred == "und" and got[k].score == 0 for k in (1000, 1001, 1002, 1003))
+    assert got[1004].lang_pred != "und"
     held = [got[i] for i, _, _ in rows[:240] if got[i].held_out]
     truth = {i: lang for i, _, lang in rows}
     assert held and sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.97 * len(held)

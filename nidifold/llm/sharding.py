@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import shared_dir
+from .common import shared_dir, staged
 
 SLOTS = 16_384
 ROW_BYTES = 16
+PARTS = 64
 MAP = T.StructType([T.StructField("version", T.IntegerType()), *(T.StructField(x, T.LongType()) for x in ("vslot", "bytes", "rows")), T.StructField("shard", T.IntegerType()), T.StructField("base", T.LongType())])
 
 
@@ -90,9 +91,14 @@ class SlotMap:
         return self.spark.read.schema(MAP).parquet(f"{self.path}/version={version}.parquet")
 
 
-def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot (the row's place in its shard, from 0), grown_shard and vslot."""
-    rows = records(docs, slots)
+def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, hot_rows: int = 100_000) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot (the row's place in its shard, from 0), grown_shard and vslot.
+
+    Rows are numbered within their slots. Slots of over ``hot_rows`` rows (one id and text repeated, say) are numbered in
+    PARTS parts, each of which goes on where the one before ends.
+    """
+    # Staged, so that a row's part stays what it is.
+    rows = staged(records(docs, slots).withColumn("__part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")), "records")
     weight, count = [0] * slots, [0] * slots
     for r in rows.groupBy("vslot").agg(F.sum("size"), F.count(F.lit(1))).collect():  # a row for each slot at most
         weight[r[0]], count[r[0]] = r[1], r[2]
@@ -100,6 +106,14 @@ def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS) -> DataFrame:
     first = [s % shards for s in range(slots)]
     slot_map.store(first, weight, count)
     current = slot_map.store(rebalanced(first, weight, shards), weight, count)
-    place = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32")) - 1
+    hot = [s for s in range(slots) if count[s] > hot_rows]
+    rows = rows.withColumn("__part", F.when(F.col("vslot").isin(hot), F.col("__part")).otherwise(0))
+    place = F.row_number().over(Window.partitionBy("vslot", "__part").orderBy("doc_id", "text_crc32")) - 1
     out = rows.withColumn("__place", place).join(F.broadcast(current.select("vslot", "shard", "base")), "vslot")
+    if hot:
+        before = Window.partitionBy("vslot").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = rows.filter(F.col("vslot").isin(hot)).groupBy("vslot", "__part").count()
+        parts = parts.select("vslot", "__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
+        out = out.join(F.broadcast(parts), ["vslot", "__part"], "left")  # PARTS rows for each hot slot
+        out = out.withColumn("__place", F.col("__place") + F.coalesce("__before", F.lit(0)))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("__place")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot")

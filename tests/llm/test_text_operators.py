@@ -200,9 +200,10 @@ def test_components(spark, edges):
     assert got == of
 
 
-def test_sharding_is_whole_and_even(spark):
-    rows = [*HOSTILE, *[(1000 + k, "t" * (k * 7 % 311)) for k in range(2000)]]
-    got = sharding.shard(table(spark, rows), 7).collect()
+@pytest.mark.parametrize("hot_rows", [100, 100_000])
+def test_sharding_is_whole_and_even(spark, hot_rows):
+    rows = [*HOSTILE, *[(1000 + k, "t" * (k * 7 % 311)) for k in range(2000)], *[(7, "again")] * 300]
+    got = sharding.shard(table(spark, rows), 7, hot_rows=hot_rows).collect()
     assert len(got) == len(rows)
     want = sorted(((i is None, i), len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows)
     assert sorted(((r.doc_id is None, r.doc_id), r.size, r.text_crc32) for r in got) == want

@@ -79,8 +79,9 @@ def machine(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 200) ->
     """A linear support vector machine (squared hinge loss, both classes of equal weight) by accelerated gradient steps;
     the last weight is the intercept. ``y`` is 1 or -1."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w = v = np.zeros(x.shape[1])
+    y = y.astype(x.dtype)  # one type throughout, or each product would copy x
+    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(x.dtype)
+    w = v = np.zeros(x.shape[1], x.dtype)
     step, t = 1 / (1 + 4 * c), 1.0
     for _ in range(rounds):
         slack = np.maximum(0, 1 - y * (x @ v))
@@ -136,7 +137,7 @@ class Discriminator:
         wins, margins, least = (np.zeros((len(x), len(choices))) for _ in range(3))
         least += np.inf
         for (i, a), (j, b) in combinations(enumerate(choices), 2):
-            w = machines[a, b]
+            w = machines[a, b].astype(x.dtype)
             z = x @ w[:-1] + w[-1]
             for k, s in ((i, z), (j, -z)):
                 wins[:, k] += s > 0

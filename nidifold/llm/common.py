@@ -68,6 +68,11 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
+def text_hash() -> Column:
+    """Tells the texts of rows with the same doc_id, or none, from one another."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 #: A key counts as hot when it holds more than one row in this many. So there are fewer than this many hot keys: their hashes
 #: may go to the driver, and a table with one row for each of them may be broadcast.
 HOT_SHARE = 1000

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import deobfuscation as deob
-from .common import small_batches, staged
+from .common import small_batches, staged, text_hash
 from .near_dedup import MIX, minima, mixed, shingle_sets
 from .tokens import forget
 
@@ -226,8 +226,8 @@ def learned(docs: DataFrame, labels: DataFrame, costs: np.ndarray, most: int = T
     return bias, wanted, weights
 
 
-def scores(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> DataFrame:
-    """doc_id, held_out, score and predicted of each row of ``docs``."""
+def scores(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, with_hash: bool = False) -> DataFrame:
+    """doc_id, held_out, score and predicted of each row of ``docs``; the text's hash as __x, if wanted."""
     small_batches(docs.sparkSession)
     costs = deob.model(deob.trigram_counts(docs))
     bias, wanted, weights = learned(docs, labels, costs, most)
@@ -242,14 +242,16 @@ def scores(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Dat
                 if len(wanted):
                     rows, found = make.of_texts(batch.column("text"), wanted, bases)
                     z += np.bincount(rows, weights[np.searchsorted(wanted, found)], minlength=batch.num_rows)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], ["doc_id", "held_out", "score"])
+                more = ["__x"] if with_hash else []
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64()), *map(batch.column, more)], ["doc_id", "held_out", "score", *more])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, f"doc_id {id_type}, held_out boolean, score double")
+    columns = [text_hash().alias("__x")] if with_hash else []
+    out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", *columns).mapInArrow(run, f"doc_id {id_type}, held_out boolean, score double{', __x long' if with_hash else ''}")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted to be toxic, with all their columns."""
-    bad = scores(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("__d")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__d")), "left_anti")
+    bad = scores(docs, labels, with_hash=True).filter("predicted = 1").select(F.col("doc_id").alias("__d"), F.col("__x").alias("__y")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__d")) & (text_hash() == F.col("__y")), "left_anti")

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from nidifold.llm import decontamination
+from nidifold.llm import decontamination, near_dedup, toxicity
 
 
 def table(spark, rows):
@@ -65,3 +65,29 @@ def test_rare_words_reach_every_passage_of_the_rule(monkeypatch):
                     lo, hi = decontamination.around(s, len(item), len(part))
                     if decontamination.covered(item.tolist(), item[-8:].tolist(), part[lo:hi].tolist())[2]:
                         assert (d, k, s // decontamination.HALF) in reached
+
+
+def test_bad_rows_take_no_clean_rows_along(spark, monkeypatch):
+    item = " ".join(f"item{k}" for k in range(20))
+    rows = [(1, "clean words only"), (1, f"so {item} it is"), (None, f"here {item} again"), (None, "clean without an id"), (2, "more of it")]
+    kept = decontamination.without_contaminated(table(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(r.text for r in kept.collect()) == ["clean without an id", "clean words only", "more of it"]
+
+    good = [(k, f"fine day number{k} and sun") for k in range(40)]
+    bad = [(100 + k, f"you awfulword fool{k} again") for k in range(40)]
+    mixed = [(1000, "quiet evening"), (1000, "an awfulword fool"), (None, "awfulword again"), (None, "quiet morning")]
+    labels = spark.createDataFrame([*((i, 0) for i, _ in good), *((i, 1) for i, _ in bad)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "LEAST_ROWS", 2)
+    kept = {(r.doc_id, r.text) for r in toxicity.without_toxic(table(spark, [*good, *bad, *mixed]), labels).collect()}
+    assert {(1000, "quiet evening"), (None, "quiet morning")} <= kept
+    assert not {(1000, "an awfulword fool"), (None, "awfulword again")} & kept
+
+
+def test_near_copies_under_one_id_or_none(spark):
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(60))
+    rows = [(1, text(1)), (5, text(1) + " end"), (5, text(2)), (None, text(3)), (None, text(3) + " end"), (7, text(4)), (7, text(4) + " end"), (8, text(5)), (8, text(5)), (None, text(6)), (None, ""), (None, "")]
+    kept = near_dedup.deduplicated(table(spark, rows)).collect()
+    of = lambda k: [r for r in kept if r.text.startswith(f"t{k}w")]
+    assert [len(of(k)) for k in range(1, 7)] == [1] * 6
+    assert of(1)[0].doc_id == 1 and of(2)[0].doc_id == 5
+    assert len(kept) == 8

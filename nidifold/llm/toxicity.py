@@ -5,7 +5,7 @@ model counted over all texts (see deobfuscation). A text's features are its word
 of four to seven letters, each with how many of the text's distinct words share it (at least one, two, three); a logistic
 regression over those features that training rows show to matter gives the score.
 
-The regression is fitted on at most TRAINING_ROWS labelled rows, near copies counted once (rows that share one of
+The regression is fitted on at most TRAINING_ROWS labelled rows, one of each doc_id, near copies counted once (rows that share one of
 two MinHash bands of five minima); rows are chosen by a hash of their id. Everything else covers all rows.
 
 Defined cases: a null or empty text has no features and gets the score of the intercept; labels that are null are not
@@ -154,10 +154,12 @@ def logistic(rows: np.ndarray, columns: np.ndarray, label: np.ndarray, width: in
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> DataFrame:
-    """text and label of at most ``most`` labelled rows that are not held out."""
+    """text and label of at most ``most`` labelled rows that are not held out, one of each doc_id: that of the least hash."""
     some = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     some = some.groupBy("doc_id").agg(F.max("toxic").alias("__label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", F.col("__label").cast("double").alias("label"))
+    rows = docs.select("doc_id", "text", text_hash().alias("__x")).join(F.broadcast(some), "doc_id")
+    one = rows.groupBy("doc_id").agg(F.min_by(F.struct("text"), F.struct("__x", "text")).alias("one"), F.first("__label").alias("label"))
+    return one.select("one.text", F.col("label").cast("double").alias("label"))
 
 
 def learned(docs: DataFrame, labels: DataFrame, costs: np.ndarray, most: int = TRAINING_ROWS) -> tuple[float, np.ndarray, np.ndarray]:

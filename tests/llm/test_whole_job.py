@@ -91,3 +91,11 @@ def test_near_copies_under_one_id_or_none(spark):
     assert [len(of(k)) for k in range(1, 7)] == [1] * 6
     assert of(1)[0].doc_id == 1 and of(2)[0].doc_id == 5
     assert len(kept) == 8
+
+
+def test_one_training_row_of_each_id(spark):
+    rows = [*((1, f"text number {k}") for k in range(30)), (2, None), (2, None), (3, "c")]
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, toxic int")
+    held = {r.doc_id for r in labels.filter(toxicity.held_out(labels["doc_id"])).collect()}
+    got = toxicity.training_rows(table(spark, rows), labels).collect()
+    assert len(got) == 3 - len(held)

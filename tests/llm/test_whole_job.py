@@ -99,3 +99,11 @@ def test_one_training_row_of_each_id(spark):
     held = {r.doc_id for r in labels.filter(toxicity.held_out(labels["doc_id"])).collect()}
     got = toxicity.training_rows(table(spark, rows), labels).collect()
     assert len(got) == 3 - len(held)
+
+
+def test_items_of_later_blocks_are_found_alike(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "ITEMS_AT_ONCE", 2)
+    items, docs = paraphrases((0.6, 0.7, 1.0), (6, 12, 40, 100))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(table(spark, docs), bench).collect()}
+    assert got == brute_force(docs, items)

@@ -3,12 +3,15 @@
 Prose repeats its words, so most of a tokenizer's work is repeated too. Texts are cut where the tokenizer itself always
 cuts, each distinct piece is encoded once, and the pieces' ids are put together with numpy. Both pre-tokenizers in use
 cut before a blank that follows or precedes something else than white space, and around a lone line feed; a text in which
-white space characters adjoin is encoded as it is. The ids are those of ``Tokenizer.encode`` (tested on random texts).
+white space characters adjoin, or one that spells a special token, is encoded as it is. The ids are those that
+``Tokenizer.encode(text, add_special_tokens=False)`` gives for a tokenizer as loaded: special tokens spelled in a text become
+their ids (tested on random texts).
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from functools import cache
 
@@ -29,13 +32,16 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         # Byte-level vocabularies keep white space as ids; the others drop it, and need another piece between words.
         self.keeps_space = bool(self._plain("\n"))
         self.between = "\n" if self.keeps_space else " ` "
         self.ignores_case = self._plain("AZ") == self._plain("az")
         (self.between_id,) = self._plain(self.between)
         self.apart = r"\n|[\s\p{Z}\x0b\x1c-\x1f\x{85}]$|^[\t\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]" if self.keeps_space else "`"
+        spelled = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        odd = ([r"[\s\p{Z}\x0b\x1c-\x1f\x{85}][\s\p{Z}\x0b\x1c-\x1f\x{85}]|\x01"] if self.keeps_space else []) + ([f"(?i:{'|'.join(spelled)})"] if spelled else [])
+        #: Texts that are encoded as they are.
+        self.odd = "|".join(odd)
         self.clear()
 
     def clear(self) -> None:
@@ -126,7 +132,7 @@ class WordEncoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        odd = pc.match_substring_regex(texts, r"[\s\p{Z}\x0b\x1c-\x1f\x{85}][\s\p{Z}\x0b\x1c-\x1f\x{85}]|\x01") if self.keeps_space else None
+        odd = pc.match_substring_regex(texts, self.odd) if self.odd else None
         slow = odd.to_numpy(zero_copy_only=False) if odd is not None else np.zeros(len(texts), bool)
         if slow.any():
             easy, sizes = self.encode_easy(pc.if_else(odd, "", texts))
@@ -158,11 +164,6 @@ class WordEncoder:
         of_text = np.concatenate([[0], ends])[np.cumsum(counts)]
         return ids[at], np.diff(of_text, prepend=0)
 
-    def counts(self, texts: pa.Array) -> np.ndarray:
-        """How often each id occurs in the texts."""
-        ids, _ = self.encode(texts)
-        return np.bincount(ids, minlength=self.tokenizer.get_vocab_size())
-
 
 @cache
 def encoder(path: str) -> WordEncoder:

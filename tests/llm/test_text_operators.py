@@ -4,19 +4,21 @@ import hashlib
 import re
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from nidifold.llm import chat, decontamination, exact_dedup, language_id, licenses, near_dedup, packing, sharding, token_files, toxicity
 from nidifold.llm import deobfuscation as deob
 from nidifold.llm.components import components
-from nidifold.llm.tokens import WordEncoder, encoder
+from nidifold.llm.tokens import WordEncoder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, label int, piece string"
 LONG = " ".join(f"word{k % 977}" for k in range(30_000))
@@ -60,7 +62,7 @@ def test_word_encoder_with_full_memory(monkeypatch):
 def test_packing_places_every_piece(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = packing.pack(packing.token_pieces(table(spark, HOSTILE), path, 64, with_ids=True), 64).collect()
-    tokenizer = encoder(path).tokenizer
+    tokenizer = Tokenizer.from_file(path)
     want = defaultdict(int)
     for i, t in HOSTILE:
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
@@ -84,8 +86,32 @@ def test_packing_places_every_piece(spark):
     assert packing.pack(packing.token_pieces(table(spark, []), path)).count() == 0
 
 
+def fewest(histogram, capacity):
+    """No packing needs fewer: the best bound that dual feasible functions of the lengths give."""
+    sized = [(Fraction(size, capacity), n) for size, n in histogram.items()]
+    best = Fraction(0)
+    for least in {Fraction(0), *(x for x, _ in sized if x <= Fraction(1, 2))}:
+        cut = [(Fraction(1) if x > 1 - least else x if x >= least else Fraction(0), n) for x, n in sized]
+        for k in range(capacity):
+            held = lambda x: x if k == 0 or (x * (k + 1)).denominator == 1 else Fraction(x * (k + 1) // 1, k)  # noqa: B023,E731
+            best = max(best, sum((held(x) * n for x, n in cut), Fraction(0)))
+    return -(-best // 1)
+
+
+def first_fit(histogram, capacity):
+    """The sequences that first fit needs, longest pieces first."""
+    free = []
+    for size in sorted((size for size, n in histogram.items() for _ in range(n)), reverse=True):
+        k = next((k for k, left in enumerate(free) if left >= size), len(free))
+        free[k:] = [*([free[k]] if k < len(free) else [capacity]), *free[k + 1 :]]
+        free[k] -= size
+    return len(free)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 50), st.integers(1, 400), max_size=30), st.sampled_from([1, 3, 64]))
+@example({17: 155}, 64)
+@example({18: 374, 1: 179, 16: 78}, 64)
 def test_packing_plan_is_whole_and_near_the_bound(histogram, groups):
     plan, count = packing.packing_plan(histogram, 50, groups)
     ranks, fill = defaultdict(list), defaultdict(list)
@@ -106,8 +132,8 @@ def test_packing_plan_is_whole_and_near_the_bound(histogram, groups):
             at += length
         assert at <= 50
     assert len(fill) == count
-    total = sum(a * b for a, b in histogram.items())
-    assert groups < 64 or count <= 1.25 * max(total / 50, sum(n for a, n in histogram.items() if a > 25)) + 12
+    bound = fewest(histogram, 50)
+    assert count >= bound and (groups < 64 or count <= max(1.1 * bound, first_fit(histogram, 50)) + 2)
 
 
 def test_exact_dedup_against_brute_force(spark):
@@ -281,7 +307,7 @@ def test_token_files_round_trip(spark, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     out = token_files.write_tokens(table(spark, HOSTILE), path, f"file://{tmp_path}/files")
     got = token_files.read_tokens(spark, out, with_ids=True).collect()
-    tokenizer = encoder(path).tokenizer
+    tokenizer = Tokenizer.from_file(path)
     want = sorted((i is not None, i or 0, tuple([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2])) for i, t in HOSTILE)
     assert sorted((r.doc_id is not None, r.doc_id or 0, tuple(r.ids)) for r in got) == want
     at = 0

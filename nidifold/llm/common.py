@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from functools import reduce
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,15 +17,25 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset (tests), one of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset and all run in one process
+    (tests), it is set to a new folder of this machine; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="nidifold-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-_written: list[str] = []
+_written: WeakKeyDictionary[SparkSession, list[str]] = WeakKeyDictionary()
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the shared one, to be deleted by release()."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark, []).append(path)
+    return path
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -34,22 +45,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     (row numbers, ids) stays as it is.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = own_folder(spark, name)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def release(spark: SparkSession) -> None:
-    """Deletes what this session has staged. Results are lazy and read staged tables, so this comes after they are written."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes the folders that operators have made for this session: staged tables, slot maps and token files without a path
+    of the caller's. Results are lazy and read them, so this comes after results are written."""
+    for path in _written.pop(spark, []):
+        delete(spark, path)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Sends texts to Python in small batches, so that long ones need no more memory than a worker has (what the session sets
-    itself is left as it is), and lets workers find this package where it is not installed but lies at the same place."""
+    """Sends texts to Python in small batches, so that long ones need no more memory than a worker has, and lets workers find
+    this package where it is not installed but lies at the same place. Both hold for the rest of the session, as its queries
+    are lazy: the batch sizes where the session has none of its own, the path for workers that start from now on."""
     root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:

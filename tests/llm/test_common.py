@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from nidifold.llm.common import join_counted, small_batches, staged
+from nidifold.llm.common import join_counted, release, shared_dir, small_batches, staged
 
 
 @pytest.mark.parametrize("total", [1, 3_000, 10**9])
@@ -28,3 +28,21 @@ def test_settings_of_the_session_stay(spark):
     spark.conf.unset(name)
     small_batches(spark)
     assert spark.conf.get(name) == "2000"
+
+
+def test_no_local_folder_on_a_cluster():
+    class Cluster:
+        conf = {}
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(Cluster())
+
+
+def test_release_is_by_session(spark):
+    other = spark.newSession()
+    ours, theirs = staged(spark.range(3), "ours"), staged(other.range(4), "theirs")
+    release(other)
+    assert ours.count() == 3
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|FILE_NOT_FOUND|does not exist"):
+        theirs.count()

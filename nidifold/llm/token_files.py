@@ -1,7 +1,7 @@
 """Token-id files coded by a static range asymmetric numeral system.
 
 One table of frequencies, counted over all ids, is shared by all blocks. A block holds whole documents (about BLOCK_IDS
-ids); its ids are dealt in turn to LANES coders whose words are interleaved in one stream. Every EVERY steps the coders'
+ids, or one longer document); its ids are dealt in turn to LANES coders whose words are interleaved in one stream. Every EVERY steps the coders'
 states and the stream's position are kept as a checkpoint, so a block can be decoded from several points at once, and each
 block ends with checksums of its bytes and of its ids. Blocks need nothing from each other.
 
@@ -20,7 +20,6 @@ itself; an empty table gives an empty file set and no rows.
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -31,11 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches
+from .common import own_folder, small_batches, staged
 from .tokens import crc_of_ids, encoder, with_end
 
 LANES, EVERY, SCALE = 32, 512, 20
 BLOCK_IDS, BLOCKS_AT_ONCE = 1 << 16, 16
+#: Ids of a part at most, about: more parts are made than the session has shuffle partitions, where these would hold more.
+PART_IDS = 1 << 26
 LOW = np.uint64(1 << 31)
 HEAD = struct.Struct("<4sHHQIQ")
 
@@ -216,11 +217,11 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, end_
     """Writes a file set and returns its folder."""
     spark = docs.sparkSession
     small_batches(spark)
-    path = path or f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    path = path or own_folder(spark, "token-files")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    token_ids(docs, vocabulary, end_id).write.option("compression", "none").parquet(f"{path}/ids")
-    tokens = spark.read.parquet(f"{path}/ids")
-    table = Table.of_counts(id_counts(tokens))
+    tokens = staged(token_ids(docs, vocabulary, end_id), "token-ids")
+    counts = id_counts(tokens)
+    table = Table.of_counts(counts)
     spark.createDataFrame([(k, int(f)) for k, f in enumerate(table.frequency) if f], "id long, frequency long").coalesce(1).write.parquet(f"{path}/frequencies")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,13 +256,24 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, end_
         for batch in batches:
             of_ids = batch.schema.field("doc_id").type
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
+                tokens = unsqueezed(data.as_py(), open_)
+                # Blocks that are coded together are filled up to the longest; one that holds a long document is coded alone.
+                if len(tokens) > BLOCK_IDS:
+                    if ids:
+                        filled.append((ids, parts))
+                    if filled:
+                        yield written()
+                    filled.append(([doc_id], [tokens]))
+                    yield written()
+                    ids, parts, have = [], [], 0
+                    continue
                 ids.append(doc_id)
-                parts.append(unsqueezed(data.as_py(), open_))
-                have += len(parts[-1])
+                parts.append(tokens)
+                have += len(tokens)
                 if have >= BLOCK_IDS:
                     filled.append((ids, parts))
                     ids, parts, have = [], [], 0
-                    if len(filled) == BLOCKS_AT_ONCE or len(filled[-1][1][-1]) > BLOCK_IDS:
+                    if len(filled) == BLOCKS_AT_ONCE:
                         yield written()
         if ids:
             filled.append((ids, parts))
@@ -269,7 +281,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, end_
             yield written()
 
     tokens = tokens.withColumn("__tie", F.monotonically_increasing_id())  # so that equal rows need not share a part
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(counts.sum()) // PART_IDS))
     ordered = tokens.repartitionByRange(partitions, "doc_id", "crc", "__tie").sortWithinPartitions("doc_id", "crc")
     schema = f"part int, block int, first_token long, n_tokens long, doc_ids array<{id_type}>, sizes array<long>, payload binary"
     ordered.select("doc_id", "ids").mapInArrow(run, schema).write.option("compression", "none").parquet(f"{path}/blocks")

@@ -212,18 +212,18 @@ def packing_plan(histogram: dict[int, int], capacity: int = 1024, groups: int =
 
 def pack(pieces: DataFrame, capacity: int = 1024, groups: int = 64) -> DataFrame:
     """``pieces`` (see token_pieces) with sequence_id and offset. They are staged, as they are read several times."""
-    spark = pieces.sparkSession
-    pieces = staged(pieces, "pieces")
+    spark, columns = pieces.sparkSession, pieces.columns
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pieces.withColumn("__b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    # Dealt in turn, so that equal rows are spread too; staged, so that each stays where it was dealt.
+    dealt = staged(pieces.withColumn("__b", F.pmod(F.monotonically_increasing_id(), F.lit(buckets))), "pieces")
     counts = dealt.groupBy("length", "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("length").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(F.col("length").alias("__length"), F.col("__b").alias("__bucket"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
+    histogram = {r[0]: r[1] for r in dealt.groupBy("length").count().collect()}  # at most ``capacity`` rows
     plan, _ = packing_plan(histogram, capacity, groups)
     places = spark.createDataFrame(plan, PLAN).withColumnRenamed("length", "__l")
     within = F.row_number().over(Window.partitionBy("length", "__b").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = dealt.withColumn("__r", within).join(counts, (F.col("length") == F.col("__length")) & (F.col("__b") == F.col("__bucket"))).withColumn("__rank", F.col("__r") + F.col("__before"))
     at = (F.col("length") == F.col("__l")) & (F.col("__rank") >= F.col("first_rank")) & (F.col("__rank") < F.col("first_rank") + F.col("n"))
     placed = ranked.join(F.broadcast(places), at)
-    return placed.select(*pieces.columns, (F.col("sequence_id") + F.col("__rank") - F.col("first_rank")).alias("sequence_id"), "offset")
+    return placed.select(*columns, (F.col("sequence_id") + F.col("__rank") - F.col("first_rank")).alias("sequence_id"), "offset")

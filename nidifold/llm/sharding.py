@@ -11,7 +11,6 @@ text's checksum; equal rows share a slot and get different places; an empty tabl
 
 from __future__ import annotations
 
-import heapq
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import shared_dir, staged
+from .common import own_folder, staged
 
 SLOTS = 16_384
 ROW_BYTES = 16
@@ -57,63 +56,65 @@ def rebalanced(owner: list[int], weight: list[int], shards: int) -> list[int]:
         owner[move[1]] = empty
 
 
-def dealt_by_size(weight: list[int], shards: int) -> list[int]:
-    """A map made anew: slots by decreasing weight, each to the emptiest shard."""
-    owner = [slot % shards for slot in range(len(weight))]
-    heap = [(0, s) for s in range(shards)]
-    for slot in sorted((s for s in range(len(weight)) if weight[s]), key=lambda s: (-weight[s], s)):
-        load, shard = heapq.heappop(heap)
-        owner[slot] = shard
-        heapq.heappush(heap, (load + weight[slot], shard))
-    return owner
-
-
 class SlotMap:
-    """A versioned slot-to-shard map, kept as a table in the shared folder: one Parquet folder per version."""
+    """A versioned slot-to-shard map, kept as a table: one Parquet folder per version. A map made for a path goes on from the
+    versions that are there."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, slots: int = SLOTS):
-        self.spark, self.slots, self.version = spark, slots, 0
-        self.path = path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+        self.spark, self.slots = spark, slots
+        self.path = path or own_folder(spark, "slot-map")
+        self.version = max(self.versions(), default=0)
+
+    def versions(self) -> list[int]:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+        return sorted(int(n.removeprefix("version=").removesuffix(".parquet")) for n in names if n.startswith("version="))
 
     def store(self, owner: list[int], weight: list[int], rows: list[int]) -> DataFrame:
         """Writes the next version; ``base`` counts the rows of the shard's slots before this one."""
-        self.version += 1
         seen: dict[int, int] = {}
         table = []
         for slot in range(self.slots):
             base = seen.get(owner[slot], 0)
-            table.append((self.version, slot, weight[slot], rows[slot], owner[slot], base))
+            table.append((self.version + 1, slot, weight[slot], rows[slot], owner[slot], base))
             seen[owner[slot]] = base + rows[slot]
-        self.spark.createDataFrame(table, MAP).coalesce(1).write.parquet(f"{self.path}/version={self.version}.parquet")
+        self.spark.createDataFrame(table, MAP).coalesce(1).write.parquet(f"{self.path}/version={self.version + 1}.parquet")
+        self.version += 1
         return self.load(self.version)
 
     def load(self, version: int) -> DataFrame:
         return self.spark.read.schema(MAP).parquet(f"{self.path}/version={version}.parquet")
 
+    def owners(self, version: int) -> list[int]:
+        """The shard of each slot."""
+        owner = [0] * self.slots
+        for r in self.load(version).select("vslot", "shard").collect():  # a row for each slot
+            owner[r[0]] = r[1]
+        return owner
+
 
-def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, hot_rows: int = 100_000) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (the row's place in its shard, from 0), grown_shard and vslot.
 
-    Rows are numbered within their slots. Slots of over ``hot_rows`` rows (one id and text repeated, say) are numbered in
-    PARTS parts, each of which goes on where the one before ends.
+    ``path``: where the slot map is kept. If it has a version already, that is rebalanced for these rows; slots of shards
+    that are no more are dealt anew. Rows are numbered within their slots in PARTS parts, each of which goes on where the one
+    before ends, so a slot with very many rows (one id and text repeated, say) is no task of its own.
     """
     # Staged, so that a row's part stays what it is.
     rows = staged(records(docs, slots).withColumn("__part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")), "records")
+    parts = rows.groupBy("vslot", "__part").agg(F.sum("size").alias("__bytes"), F.count(F.lit(1)).alias("__rows"))
+    parts = staged(parts, "slot-parts")  # PARTS rows for each slot at most
     weight, count = [0] * slots, [0] * slots
-    for r in rows.groupBy("vslot").agg(F.sum("size"), F.count(F.lit(1))).collect():  # a row for each slot at most
+    for r in parts.groupBy("vslot").agg(F.sum("__bytes"), F.sum("__rows")).collect():  # a row for each slot at most
         weight[r[0]], count[r[0]] = r[1], r[2]
-    slot_map = SlotMap(docs.sparkSession, slots=slots)
-    first = [s % shards for s in range(slots)]
-    slot_map.store(first, weight, count)
+    slot_map = SlotMap(docs.sparkSession, path, slots)
+    if not slot_map.version:
+        slot_map.store([s % shards for s in range(slots)], weight, count)
+    first = [o if o < shards else s % shards for s, o in enumerate(slot_map.owners(slot_map.version))]
     current = slot_map.store(rebalanced(first, weight, shards), weight, count)
-    hot = [s for s in range(slots) if count[s] > hot_rows]
-    rows = rows.withColumn("__part", F.when(F.col("vslot").isin(hot), F.col("__part")).otherwise(0))
+    before = Window.partitionBy("vslot").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("vslot", "__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
     place = F.row_number().over(Window.partitionBy("vslot", "__part").orderBy("doc_id", "text_crc32")) - 1
-    out = rows.withColumn("__place", place).join(F.broadcast(current.select("vslot", "shard", "base")), "vslot")
-    if hot:
-        before = Window.partitionBy("vslot").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-        parts = rows.filter(F.col("vslot").isin(hot)).groupBy("vslot", "__part").count()
-        parts = parts.select("vslot", "__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-        out = out.join(F.broadcast(parts), ["vslot", "__part"], "left")  # PARTS rows for each hot slot
-        out = out.withColumn("__place", F.col("__place") + F.coalesce("__before", F.lit(0)))
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("__place")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot")
+    out = rows.withColumn("__place", place).join(parts, ["vslot", "__part"]).join(F.broadcast(current.select("vslot", "shard", "base")), "vslot")
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("__before") + F.col("__place")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot")

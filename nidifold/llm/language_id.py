@@ -4,8 +4,8 @@ A text is a vector of its letters' one-, two- and three-grams (hashed, over the
 families by the likeness of their mean vectors. Linear support vector machines, one for each pair of families, vote for the
 family; those for each pair of languages within it vote for the language.
 
-The machines are fitted on about ROWS_PER_LANGUAGE labelled rows of each language, chosen by a hash of their id; all rows
-are predicted.
+The machines are fitted on about ROWS_PER_LANGUAGE distinct labelled texts of each language, MOST_ROWS at most, chosen by a
+hash of the text; all rows are predicted.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; rows without a language are not learned from;
 if nothing can be learned every text is ``und``; with one language it is predicted for all others; repeated rows are
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-ROWS_PER_LANGUAGE = 1_000
+ROWS_PER_LANGUAGE, MOST_ROWS = 1_000, 50_000
 BUCKETS = 2_048
 #: Languages merge into one family while their mean vectors are this much alike, of the range between the least and the
 #: most alike pair.
@@ -162,14 +162,15 @@ class Discriminator:
         return names, scores
 
 
-def training_rows(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> DataFrame:
-    """text and lang of about ``per_language`` rows of each language that are not held out."""
+def training_rows(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE, most: int = MOST_ROWS) -> DataFrame:
+    """text and lang of about ``per_language`` distinct texts of each language that are not held out, ``most`` at most."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = known.groupBy("lang").count().collect()  # a row for each language
     parts = 1 << 20
     share = F.create_map(*[x for r in sizes for x in (F.lit(r[0]), F.lit(min(parts, -(-parts * per_language // r[1]))))]) if sizes else F.lit(None)
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(parts)) < share[F.col("lang")]) if sizes else known.limit(0)
-    return chosen.select("text", "lang")
+    told = known.select("text", "lang", F.xxhash64("text", F.lit("language")).alias("__h"))
+    chosen = told.filter(F.pmod("__h", F.lit(parts)) < share[F.col("lang")]) if sizes else told.limit(0)
+    return chosen.dropDuplicates(["__h", "lang"]).orderBy("__h", "lang").limit(most).select("text", "lang")
 
 
 def fitted(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> Discriminator:

@@ -226,10 +226,9 @@ def test_components(spark, edges):
     assert got == of
 
 
-@pytest.mark.parametrize("hot_rows", [100, 100_000])
-def test_sharding_is_whole_and_even(spark, hot_rows):
+def test_sharding_is_whole_and_even(spark):
     rows = [*HOSTILE, *[(1000 + k, "t" * (k * 7 % 311)) for k in range(2000)], *[(7, "again")] * 300]
-    got = sharding.shard(table(spark, rows), 7, hot_rows=hot_rows).collect()
+    got = sharding.shard(table(spark, rows), 7).collect()
     assert len(got) == len(rows)
     want = sorted(((i is None, i), len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows)
     assert sorted(((r.doc_id is None, r.doc_id), r.size, r.text_crc32) for r in got) == want
@@ -251,7 +250,19 @@ def test_rebalancing_moves_few_slots():
     load = np.bincount(owner, weight, minlength=8)
     assert load.max() - load.min() <= 2 * min(weight) + 1000 // 50
     assert sum(a != b for a, b in zip(first, owner, strict=True)) < 60
-    assert np.ptp(np.bincount(sharding.dealt_by_size(weight, 8), weight, minlength=8)) < 1000
+
+
+def test_a_stored_slot_map_is_edited(spark, tmp_path):
+    path, rows = f"file://{tmp_path}/map", [(k, "t" * (k * 7 % 311)) for k in range(2000)]
+    owner = lambda: sharding.SlotMap(spark, path, 256).owners(sharding.SlotMap(spark, path, 256).version)
+    load = lambda got: np.bincount([r.shard for r in got], [r.size for r in got])
+    assert np.ptp(load(sharding.shard(table(spark, rows), 7, 256, path).collect())) < 311
+    first = owner()
+    got = sharding.shard(table(spark, [*rows, *[(5000 + k, "more") for k in range(500)]]), 8, 256, path).collect()
+    assert len(got) == 2500 and np.ptp(load(got)) < 311
+    assert sharding.SlotMap(spark, path, 256).versions() == [1, 2, 3]
+    assert sum(a != b for a, b in zip(first, owner(), strict=True)) < 256 / 4  # the new shard's, and few others
+    assert max(r.shard for r in sharding.shard(table(spark, rows), 5, 256, path).collect()) == 4
 
 
 def test_license_scan(spark):
@@ -318,6 +329,15 @@ def test_token_files_round_trip(spark, tmp_path):
     assert token_files.read_tokens(spark, token_files.write_tokens(table(spark, []), path)).count() == 0
 
 
+def test_long_documents_have_blocks_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK_IDS", 100)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(k, "word " * (1000 if k == 7 else 20)) for k in range(30)]
+    out = token_files.write_tokens(table(spark, rows), path)
+    assert [len(r.sizes) for r in spark.read.parquet(f"{out}/blocks").filter("array_contains(doc_ids, 7)").collect()] == [1]
+    assert sorted((r.doc_id, r.n_tokens) for r in token_files.read_tokens(spark, out).collect()) == [(k, 1001 if k == 7 else 21) for k in range(30)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 300), max_size=200), min_size=1, max_size=5))
 def test_range_coder(blocks):
@@ -397,6 +417,16 @@ def test_language_id(spark):
     assert language_id.languages(docs.limit(0)).count() == 0
 
 
+def test_languages_learn_from_rows_under_one_id_or_none(spark):
+    rows = [(None if k % 2 else 7, f"{'the and this' if k % 4 < 2 else 'der und dies'} {chr(97 + k % 26)}{chr(97 + k // 26)}", "en" if k % 4 < 2 else "de") for k in range(80)] + [(1, "the and", "en")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language_id.languages(docs).collect()} == {"en", "de"}
+    assert language_id.training_rows(docs, 10, 12).count() <= 12
+    assert language_id.training_rows(docs).filter("text = 'the and'").count() == 1
+    long = spark.createDataFrame([*rows, (90, "the and this " * 50_000, None)], docs.schema)
+    assert {r.lang_pred for r in language_id.languages(long).filter("doc_id = 90").collect()} == {"en"}
+
+
 def test_language_families():
     base = np.eye(6)
     means = np.array([base[0] + 0.2 * base[2], base[0] + 0.2 * base[3], base[1] + 0.2 * base[4], base[1] + 0.2 * base[5]])

@@ -1,114 +1,128 @@
 """Exact duplicates by deterministic block naming.
 
-A text without its white space is cut into blocks of a fixed number of bytes. Distinct blocks are sorted and named with
-integers; then adjacent pairs of names are named in the same way, again and again, until one name is left of each
-document. Two documents are equal exactly if they have as many blocks and the same last name: names are given to distinct
-contents, so there are no collisions. (Rows find their block's name by the block's 64-bit hash; where two distinct blocks
-of the corpus share a hash, those rows compare the blocks themselves.)
+A text without its white space is cut into blocks of a fixed number of bytes. Distinct blocks are sorted, by hash and then by
+content, and named with integers in that order; then adjacent pairs of names are sorted and named in the same way, again and
+again, until one name is left of each document. Names depend on the set of contents alone, not on how rows are partitioned.
+Two documents are equal exactly if they end at the same level with the same name: names are given to distinct contents, so
+there are no collisions. (Rows find their block's name by the block's 64-bit hash; where two distinct blocks of the corpus
+share a hash, those rows compare the blocks themselves.) Rows are told apart by numbers of their own, not by id or text.
 
-Hot blocks and pairs, which many copies share, are counted where they lie before names are given, and joined by a broadcast
-of the few hot ones (see join_counted), so no task gets all copies of a block.
+A document that holds a block, or pair, that occurs once in the corpus is equal to no other, so it needs no more names.
+
+Texts are read once; what is needed of them is staged. Blocks and pairs that many copies share are counted where they lie
+before names are given, and joined by a broadcast of the few hot ones (see join_counted), so no task gets all copies of one.
 
 Defined cases: a null text is an empty one, and all texts without other characters than white space are equal. Of equal
-texts the row with the most code points stays, then the smallest doc_id (null comes last). A row that is repeated with its
-doc_id and text counts each time, and stays once. An empty table gives no rows.
+texts the row with the most code points stays, then the smallest doc_id (null comes last), then any one. A row that is
+repeated counts each time, and stays once. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import ASCII_SPACE, join_counted, staged
 
 BLOCK = 1024
-KEY = ["doc_id", "__x"]
+#: Names are given within this many ranges of hashes (a power of two), each of which has names of its own.
+RANGES, NAMES = 4096, 1 << 48
+#: Marks names of blocks that share their hash with others.
+SHARED = 1 << 61
 
 
 def normalised(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), ASCII_SPACE, "")
-
-
-def named(rows: DataFrame, content: list[str], label: str, keep: list[str]) -> DataFrame:
-    """A row for each distinct ``content`` of ``rows``: the columns ``keep`` of it, its integer ``__name`` and its number of
-    rows ``__n``. The contents are sorted within the partitions to which they were dealt, and numbered in that order."""
-    distinct = rows.groupBy(*content).agg(F.count(F.lit(1)).alias("__n"))
-    numbered = distinct.sortWithinPartitions(*content).withColumn("__name", F.monotonically_increasing_id())
-    return staged(numbered.select(*keep, "__name", "__n"), label)
-
-
-def block_names(docs: DataFrame, block: int = BLOCK, block_hash=F.xxhash64) -> DataFrame:
-    """KEY, __size (the document's number of blocks), __pos and __name of each block of each document."""
-    size = lambda c: F.greatest(F.lit(1), F.ceil(F.octet_length(c) / F.lit(block))).cast("int")
-    plain = docs.select("doc_id", "__x", F.col("__norm").cast("binary").alias("__norm"))
-    cut = F.transform(F.sequence(F.lit(0), size(F.col("__norm")) - 1), lambda i: F.substring(F.col("__norm"), i * F.lit(block) + 1, F.lit(block)))
-    blocks = plain.select(*KEY, size(F.col("__norm")).alias("__size"), F.posexplode(cut).alias("__pos", "__block")).withColumn("__h", block_hash("__block"))
-    names = named(blocks, ["__h", "__block"], "block-names", ["__h"])
-    by_hash = staged(names.groupBy("__h").agg(F.count(F.lit(1)).alias("__same"), F.sum("__n").alias("__n"), F.min("__name").alias("__name")), "names-by-hash")
-    out = [*KEY, "__size", "__pos", "__name"]
-    rows = staged(blocks.select(*KEY, "__size", "__pos", "__h"), "blocks")
-    total = rows.count()
-    single = by_hash.filter("__same = 1").drop("__same")
-    shared = by_hash.filter("__same > 1").select("__h")
+    return reduce(lambda c, space: F.replace(c, F.lit(space), F.lit("")), ASCII_SPACE, F.coalesce(text, F.lit("")))
+
+
+def blocked(docs: DataFrame, row: str | None, block: int, block_hash) -> DataFrame:
+    """__row, doc_id, __points, text_sha256, __blocks and their __hashes of each row; the one pass over the texts."""
+    own = F.monotonically_increasing_id() if row is None else F.col(row)
+    base = docs.select(own.alias("__row"), "doc_id", F.length(F.coalesce("text", F.lit(""))).alias("__points"), normalised(F.col("text")).cast("binary").alias("__norm"))
+    last = F.greatest(F.lit(1), F.ceil(F.octet_length("__norm") / F.lit(block))).cast("int") - 1
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("__norm"), i * F.lit(block) + 1, F.lit(block)))
+    out = base.select("__row", "doc_id", "__points", F.sha2("__norm", 256).alias("text_sha256"), cut.alias("__blocks"))
+    return staged(out.withColumn("__hashes", F.transform("__blocks", lambda b: block_hash(b))), "blocks")
+
+
+def named(distinct: DataFrame, content: list[str], label: str) -> DataFrame:
+    """``distinct`` contents with their hash ``__h``, and an integer ``__name`` for each, in the order of (hash, content)."""
+    bits = RANGES.bit_length() - 1
+    told = distinct.withColumn("__r", F.shiftrightunsigned("__h", 64 - bits))
+    place = F.row_number().over(Window.partitionBy("__r").orderBy("__h", *content)) - 1
+    return staged(told.withColumn("__name", F.col("__r") * F.lit(NAMES) + place).drop("__r"), label)
+
+
+def gathered(parts: DataFrame, label: str) -> DataFrame:
+    """__row, its __names in order, and how often the rarest of them occurs (__least)."""
+    pairs = F.sort_array(F.collect_list(F.struct("__pos", "__name")))
+    return staged(parts.groupBy("__row").agg(F.transform(pairs, lambda p: p["__name"]).alias("__names"), F.min("__n").alias("__least")), label)
+
+
+def block_names(rows: DataFrame) -> DataFrame:
+    """__row, __pos, __name and __n (how often the block occurs) of each block of each document."""
+    contents = rows.select(F.inline(F.arrays_zip(F.col("__hashes").alias("__h"), F.col("__blocks").alias("__block"))))
+    distinct = contents.groupBy("__h", "__block").agg(F.count(F.lit(1)).alias("__n"))
+    names = named(distinct.groupBy("__h").agg(F.count(F.lit(1)).alias("__same"), F.sum("__n").alias("__n")), [], "block-names")
+    names = names.withColumn("__count", F.col("__n"))  # join_counted takes one of the two
+    places = rows.select("__row", F.posexplode("__hashes").alias("__pos", "__h"))
+    total = rows.agg(F.sum(F.size("__hashes"))).collect()[0][0] or 0
+    out = ["__row", "__pos", "__name", F.col("__count").alias("__n")]
+    shared = names.filter("__same > 1").select("__h")
     if not shared.limit(1).count():
-        return join_counted(rows, single, ["__h"], "__n", total).select(*out)
-    # Distinct blocks with one hash: their rows are joined on the contents. Their names lie below all others.
-    there = staged(blocks.join(shared, "__h", "left_semi"), "blocks-text")
-    exact = named(there, ["__block"], "names-text", ["__block"]).withColumn("__name", -2 - F.col("__name"))
+        return join_counted(places, names.drop("__same"), ["__h"], "__n", total).select(*out)
+    # Distinct blocks with one hash: their rows are joined on the contents.
+    there = rows.select("__row", F.posexplode(F.arrays_zip(F.col("__hashes").alias("h"), F.col("__blocks").alias("b"))).alias("__pos", "p")).select("__row", "__pos", F.col("p.h").alias("__h"), F.col("p.b").alias("__block"))
+    there = staged(there.join(shared, "__h", "left_semi"), "blocks-text")
+    exact = named(there.groupBy("__h", "__block").agg(F.count(F.lit(1)).alias("__n")), ["__block"], "names-text").drop("__h")
+    exact = exact.withColumn("__name", F.col("__name") + F.lit(SHARED)).withColumn("__count", F.col("__n"))
     exact = join_counted(there, exact, ["__block"], "__n", total)
-    rest = join_counted(rows.join(shared, "__h", "left_anti"), single, ["__h"], "__n", total)
+    rest = join_counted(places, names.filter("__same = 1").drop("__same"), ["__h"], "__n", total)
     return rest.select(*out).unionByName(exact.select(*out))
 
 
-def identities(docs: DataFrame, block: int = BLOCK, block_hash=F.xxhash64) -> DataFrame:
-    """KEY with the collision-free identity (__level, __name) of each distinct document."""
-    rows = staged(block_names(docs, block, block_hash), "names-0")
-    done, level = [], 0
+def identities(rows: DataFrame) -> DataFrame:
+    """__row with its collision-free identity (__level, __name); level -1 is for rows that are equal to no other."""
+    docs, level, done = gathered(block_names(rows), "names-0"), 0, []
     while True:
-        done.append(rows.filter("__size = 1").select(*KEY, F.lit(level).alias("__level"), "__name").dropDuplicates(KEY))
-        open_ = rows.filter("__size > 1")
-        half = F.floor(F.col("__pos") / 2).cast("int")
-        at = lambda odd: F.max(F.when(F.col("__pos") % 2 == odd, F.col("__name")))
-        pairs = open_.groupBy(*KEY, half.alias("__pos")).agg(at(0).alias("__a"), F.coalesce(at(1), F.lit(-1)).alias("__b"), F.ceil(F.max("__size") / 2).cast("int").alias("__size"))
-        pairs = staged(pairs, f"pairs-{level}")
-        if not (total := pairs.count()):
+        done.append(docs.filter("__least = 1").select("__row", F.lit(-1).alias("__level"), F.col("__row").alias("__name")))
+        done.append(docs.filter("__least > 1 AND size(__names) = 1").select("__row", F.lit(level).alias("__level"), F.col("__names")[0].alias("__name")))
+        open_ = docs.filter("__least > 1 AND size(__names) > 1")
+        total = open_.agg(F.sum(F.ceil(F.size("__names") / 2))).collect()[0][0]
+        if not total:
             break
-        names = named(pairs, ["__a", "__b"], f"names-{level}", ["__a", "__b"])
-        rows = join_counted(pairs, names, ["__a", "__b"], "__n", total).select(*KEY, "__pos", "__name", "__size")
-        rows = staged(rows, f"rows-{level}")
+        halves = F.sequence(F.lit(0), F.floor((F.size("__names") - 1) / 2).cast("int"))
+        pairs = F.transform(halves, lambda i: F.struct(F.get("__names", i * 2).alias("a"), F.coalesce(F.get("__names", i * 2 + 1), F.lit(-1)).alias("b")))
+        places = open_.select("__row", F.posexplode(pairs).alias("__pos", "p")).select("__row", "__pos", F.col("p.a").alias("__a"), F.col("p.b").alias("__b"))
+        distinct = places.groupBy("__a", "__b").agg(F.count(F.lit(1)).alias("__n")).withColumn("__h", F.xxhash64("__a", "__b"))
         level += 1
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def exact_duplicates(docs: DataFrame, block: int = BLOCK, block_hash=F.xxhash64) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("doc_id", F.xxhash64(text).alias("__x"), F.length(text).alias("__points"), normalised(F.col("text")).alias("__norm"))
-    attributes = base.select(*KEY, "__points", F.sha2(F.col("__norm").cast("binary"), 256).alias("text_sha256"))
-    names = identities(base, block, block_hash)
-    copies = attributes.groupBy(*KEY).agg(F.count(F.lit(1)).alias("__times"), F.first("__points").alias("__points"), F.first("text_sha256").alias("text_sha256"))
-    names = names.select(F.col("doc_id").alias("__d"), F.col("__x").alias("__y"), "__level", "__name")
-    each = staged(copies.join(names, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__x") == F.col("__y"))).drop("__d", "__y"), "identities")
+        names = named(distinct, ["__a", "__b"], f"pair-names-{level}").drop("__h").withColumn("__count", F.col("__n"))
+        parts = join_counted(places, names, ["__a", "__b"], "__n", total)
+        docs = gathered(parts.select("__row", "__pos", "__name", F.col("__count").alias("__n")), f"names-{level}")
+    return reduce(DataFrame.unionByName, done)
+
+
+def exact_duplicates(docs: DataFrame, block: int = BLOCK, block_hash=F.xxhash64, row: str | None = None) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 and __row (the column ``row``, which must
+    tell rows apart, or a number)."""
+    rows = blocked(docs, row, block, block_hash)
+    attributes = rows.select("__row", "doc_id", "__points", "text_sha256")
+    each = staged(attributes.join(identities(rows), "__row"), "identities")
+    single = each.filter("__level < 0").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "__row")
+    several = each.filter("__level >= 0")
     # Of equal texts: most code points, then the smallest doc_id; null last.
-    order = F.min(F.struct((-F.col("__points")).alias("p"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("__x").alias("x")))
-    groups = staged(each.groupBy("__level", "__name").agg(F.sum("__times").alias("group_size"), order.alias("__best"), F.count(F.lit(1)).alias("__n")), "groups")
-    out = join_counted(each, groups, ["__level", "__name"], "__n", each.count())
-    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    kept = F.col("doc_id").eqNullSafe(F.col("__best.i")) & (F.col("__x") == F.col("__best.x")) & (F.col("__copy") == 1)
-    return out.select("doc_id", F.col("__best.i").alias("keep_id"), F.col("group_size").cast("long"), kept.alias("kept"), "text_sha256", "__x", "__copy")
+    order = F.min(F.struct((-F.col("__points")).alias("p"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("__row").alias("r")))
+    groups = staged(several.groupBy("__level", "__name").agg(order.alias("__best"), F.count(F.lit(1)).alias("group_size"), F.count(F.lit(1)).alias("__n")), "groups")
+    out = join_counted(several, groups, ["__level", "__name"], "__n", several.count())
+    out = out.select("doc_id", F.col("__best.i").alias("keep_id"), "group_size", (F.col("__row") == F.col("__best.r")).alias("kept"), "text_sha256", "__row")
+    return single.unionByName(out)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    found = exact_duplicates(docs)
-    kept = found.filter("kept").select(F.col("doc_id").alias("__d"), F.col("__x").alias("__y"))
-    repeated = staged(found.filter("__copy = 2").select(F.col("doc_id").alias("__d"), F.col("__x").alias("__y")), "repeated")
-    on = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("__y"))
-    out = docs.join(kept, on, "left_semi")
-    if not repeated.limit(1).count():
-        return out
-    # Rows that come again with their id and text: one of each.
-    return out.join(repeated, on, "left_anti").unionByName(out.join(repeated, on, "left_semi").dropDuplicates(["doc_id", "text"]))
+    numbered = staged(docs.withColumn("__kept_row", F.monotonically_increasing_id()), "numbered")
+    kept = exact_duplicates(numbered, row="__kept_row").filter("kept").select(F.col("__row").alias("__kept_row"))
+    return numbered.join(kept, "__kept_row", "left_semi").select(*docs.columns)

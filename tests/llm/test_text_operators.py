@@ -138,7 +138,7 @@ def test_packing_plan_is_whole_and_near_the_bound(histogram, groups):
 
 def test_exact_dedup_against_brute_force(spark):
     rows = [*HOSTILE, *[(20 + k, "same text for all") for k in range(5)], (40, "same textforall  "), (41, "a" * 3000), (42, "a" * 3000), (43, "a" * 2999 + "b")]
-    for block, block_hash in ((1024, F.xxhash64), (8, F.xxhash64), (8, lambda c: F.length(c).cast("long"))):  # the last: all blocks collide
+    for block, block_hash in ((1024, F.xxhash64), (8, F.xxhash64), (8, lambda c: F.octet_length(c).cast("long"))):  # the last: all blocks collide
         got = exact_dedup.exact_duplicates(table(spark, rows), block, block_hash).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
         groups = defaultdict(list)
         for i, t in rows:
@@ -158,6 +158,22 @@ def test_exact_dedup_against_brute_force(spark):
     assert exact_dedup.exact_duplicates(table(spark, [])).count() == 0
 
 
+def test_block_names_do_not_depend_on_partitions(spark):
+    rows = table(spark, [(k, f"text {k % 40} " * (1 + k % 9)) for k in range(200)])
+    seen = set()
+    for n in (1, 7):
+        found = exact_dedup.block_names(exact_dedup.blocked(rows.repartition(n), "label", 16, F.xxhash64))
+        seen.add(tuple(sorted(map(tuple, found.collect()))))
+    assert len(seen) == 1
+
+
+def test_very_many_equal_rows(spark):
+    rows = spark.range(50_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same " * 500).alias("text"), F.lit(1).alias("__row"))
+    got = exact_dedup.exact_duplicates(rows).groupBy("group_size").agg(F.count(F.lit(1)), F.sum(F.col("kept").cast("int"))).collect()
+    assert [tuple(r) for r in got] == [(50_000, 50_000, 1)]
+    assert exact_dedup.deduplicated(rows).count() == 1
+
+
 def shingles(text, words):
     w = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()

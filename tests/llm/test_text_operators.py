@@ -2,10 +2,12 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import defaultdict
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -281,18 +283,48 @@ def test_a_stored_slot_map_is_edited(spark, tmp_path):
     assert max(r.shard for r in sharding.shard(table(spark, rows), 5, 256, path).collect()) == 4
 
 
+def license_text(*kinds):
+    return " ".join(t for t, i in licenses.TEXTS.items() if i in kinds)
+
+
+def wrapped(text, lead, width=60):
+    return "\n".join(lead + line for line in textwrap.wrap(text, width))
+
+
+STANDARD = {
+    "MIT": "Copyright (c) 2020 A. Author\n\n" + "\n\n".join(license_text(k) for k in ("MitPermission", "MitNotice")) + "\n\n" + license_text("MitWarranty", "MitLiability"),
+    "Apache-2.0": license_text("ApacheHead", "ApacheUse") + "\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n" + license_text("ApacheBasis", "ApacheSee"),
+    "BSD-2-Clause": license_text("BsdTerms") + "\n\n1. " + license_text("BsdSource") + "\n\n2. " + license_text("BsdBinary") + "\n\n" + license_text("BsdWarranty"),
+    "BSD-3-Clause": license_text("BsdTerms") + "\n\n* " + license_text("BsdSource") + "\n* " + license_text("BsdBinary") + "\n* " + license_text("BsdNames"),
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\n" + license_text("IscWarranty"),
+    "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details.",
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one.",
+}
+
+
 def test_license_scan(spark):
-    mit = "\n".join(s.capitalize() + "." for s, k in licenses.SENTENCES.items() if k.startswith("MitP") or k in ("MitNotice", "MitWarranty"))
-    rows = [*HOSTILE, (50, mit), (51, "Foo. Licensed under the Apache License, Version 2.0. Bar"), (52, "ALL RIGHTS RESERVED!"), (53, "Released under the MIT License.\r\nAll rights reserved."), (54, "The licence of all rights reserved things")]
-    got = {r.doc_id: (r.sentence_ids, r.licenses, r.n_sentences) for r in licenses.scan(table(spark, rows)).collect()}
-    assert got[50] == ("MitPermission,MitNotice,MitWarranty", "MIT", 3)
-    assert got[51] == ("Apache2Ref", "Apache-2.0", 1)
-    assert got[52] == ("AllRights", "Proprietary", 1)
-    assert got[53] == ("MitRef,AllRights", "MIT,Proprietary", 2)
-    assert all(got[k] == ("", "", 0) for k in (1, 2, 3, 4, 54, None))
-    assert licenses.scan(table(spark, rows)).count() == len(rows)
-    assert licenses.scan(table(spark, [])).count() == 0
-    assert all(re.search(licenses.TALK, s) or i in ("ApacheUse", "ApacheCopy") and "licen" in s for s, i in licenses.SENTENCES.items())
+    rows = [*HOSTILE, (51, "Foo. Licensed under the Apache License, Version 2.0. Bar"), (52, "ALL RIGHTS RESERVED!"), (53, "Released under the MIT License.\r\nAll rights reserved."), (54, "The licence of all rights reserved things"), (55, "words without an end\nReleased under the MIT License\nand more"), (56, "All rights  reserved."), (57, "All\xa0rights\treserved"), (58, "ALL-RIGHTS-RESERVED"), (59, ". " * 50_000 + "All rights reserved."), (60, "a\x01b\x02c")]
+    for k, text in enumerate(STANDARD.values()):
+        for j, lead in enumerate(("", "# ", " * ", "// ", "> ")):
+            rows.append((1000 + 10 * k + j, "start\n\n" + ("\n" + lead.rstrip() + "\n").join(wrapped(p, lead) for p in text.split("\n\n")) + "\n\nend"))
+        rows.append((1009 + 10 * k, text))
+    docs = table(spark, rows)
+    scanned = licenses.scan(docs).collect()
+    got = {r.doc_id: (r.sentence_ids, r.licenses, r.n_sentences) for r in scanned}
+    assert got[51] == ("Apache-2.0Ref", "Apache-2.0", 1)
+    assert all(got[k] == ("AllRights", "Proprietary", 1) for k in (52, 56, 57, 58, 59))
+    assert got[53] == ("MITRef,AllRights", "MIT,Proprietary", 2)
+    assert got[55] == ("MITRef", "MIT", 1)
+    assert all(got[k] == ("", "", 0) for k in (1, 2, 3, 4, 54, 60, None))
+    for k, name in enumerate(STANDARD):
+        assert {got[1000 + 10 * k + j][1] for j in (0, 1, 2, 3, 4, 9)} == {name}
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([i for i, _ in rows if i], pa.int64()), "text": pa.array([t for i, t in rows if i], pa.string())}))
+    sql = con.execute(f"SELECT doc_id, sentence_ids, licenses, n_sentences FROM ({licenses.scan_sql()})").fetchall()
+    assert {r[0]: r[1:] for r in sql} == {i: x for i, x in got.items() if i}
+    assert len(scanned) == len(rows) and licenses.scan(table(spark, [])).count() == 0
     assert {i for _, run in licenses.RULES for i in run} <= set(licenses.SENTENCES.values())
 
 

@@ -1,5 +1,10 @@
 """Noisy-channel restoring of disguised words: a Viterbi search of the characters that were meant, under a character
-language model, through the lattice of what each written character may stand for."""
+language model, through the lattice of what each written character may stand for.
+
+The channel writes letters as other characters (leetspeak), repeats them, and puts gaps between them. So a run of equal
+characters may stand for one or two letters, or for letters that the character resembles; and a gap may be dropped or be the
+edge of a word, each at its cost. A stretch of spelled letters is thus cut into words by the model.
+"""
 
 from __future__ import annotations
 
@@ -19,8 +24,11 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 SYMBOLS = 28
 # What a character may stand for besides itself.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "*": LETTERS}
-#: Costs of the channel: a character written for another one, and each letter dropped from a run of equal ones.
-SUBSTITUTED, DROPPED = 1.0, 0.3
+#: Costs of the channel: a character written for another one, each letter dropped from a run of equal ones, and a gap put
+#: between the letters of a word.
+SUBSTITUTED, DROPPED, GAP = 1.0, 0.3, 0.5
+#: Letters beyond this many in a row are like this many.
+MOST_EQUAL = 4
 
 
 def _table() -> np.ndarray:
@@ -82,50 +90,67 @@ def model(counts: np.ndarray) -> np.ndarray:
 
 
 def lattice(written: str) -> list[list[tuple[str, float]]]:
-    """For each run of equal characters what may be meant, each with its cost."""
+    """For each run of equal characters, or of gaps, what may be meant (a blank is the edge of a word), each with its cost."""
     out = []
-    for run in re.finditer(r"(.)\1*", written):
+    for run in re.finditer(r"[\s._\-]+|(.)\1*", written):
         char, n = run[1], len(run[0])
+        if char is None:
+            out.append([("", GAP), (" ", 0.0)])
+            continue
         meant = [(c, SUBSTITUTED) for c in LEET.get(char, "")] + ([(char, 0.0)] if char.isalpha() else [])
-        choices: list[tuple[str, float]] = []
-        for c, cost in meant or [("", 0.0)]:
-            copies = {n} if n < 3 else {1, 2}
-            choices += [(c * k, cost * n + DROPPED * (n - k if n > 2 else 0)) for k in sorted(copies)]
-        out.append(choices)
+        n = min(n, MOST_EQUAL)
+        # A character that is no letter and stands for none is passed over.
+        out.append([(c * k, cost * n + DROPPED * (n - k)) for c, cost in meant for k in range(1, min(n, 2) + 1)] or [("", 0.0)])
     return out
 
 
 def restored(written: str, costs: np.ndarray) -> str:
-    """The word most likely meant by a disguised one (lower case)."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for choices in lattice(written.lower()):
-        then: dict[tuple[int, int], tuple[float, str]] = {}
-        for (p, q), (cost, word) in best.items():
+    """What is most likely meant by a disguised word or spelled stretch (lower case; words with blanks between them)."""
+    steps = lattice(written.lower())
+    best: dict[tuple[int, int], float] = {(0, 0): 0.0}
+    back: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []
+    numbers: dict[str, list[int]] = {}
+    for choices in steps:
+        then: dict[tuple[int, int], float] = {}
+        came: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+        for state, cost in best.items():
             for text, more in choices:
-                a, b, total = p, q, cost + more
-                for s in symbols(text)[1:-1].tolist() if text else []:
+                (a, b), total = state, cost + more
+                if text not in numbers:
+                    numbers[text] = [0] if text == " " else symbols(text)[1:-1].tolist()
+                for s in numbers[text]:
                     total += costs[a, b, s]
                     a, b = b, s
-                if (a, b) not in then or total < then[a, b][0]:
-                    then[a, b] = (total, word + text)
+                if (a, b) not in then or total < then[a, b]:
+                    then[a, b], came[a, b] = total, (state, text)
         best = then
-    return min((cost + costs[p, q, 0], word) for (p, q), (cost, word) in best.items())[1]
+        back.append(came)
+    state = min(best, key=lambda s: (best[s] + costs[s[0], s[1], 0], s))
+    out = []
+    for came in reversed(back):
+        state, text = came[state]
+        out.append(text)
+    return " ".join("".join(reversed(out)).split())
+
+
+_TWICE = "(?:" + "|".join(f"{c}{c}" for c in LETTERS) + ")"
+#: A disguised word: letters next to characters that stand for letters, three equal letters in a row, or three letters that are
+#: written twice.
+DISGUISED = r"\pL[0-9@$!|+(*€]+\pL|^[0-9@$!|€*]+\pL|\pL[0-9@$€*]+$|" + "|".join(f"{c}{{3}}" for c in LETTERS) + f"|{_TWICE}.*{_TWICE}.*{_TWICE}"
+#: Letters (or characters that stand for some) one by one, with gaps of up to three characters between them.
+_CHAR = r"[\pL0-9@$!|€*]"
+SPACED = rf"(?:^|[\s\"'(,;:])(?:{_CHAR}[\s._\-]{{1,3}}){{2,}}{_CHAR}(?:$|[\s.,;:!?\"')])"
+_ONE = r"(?:[^\W_]|[@$!|€*])"
+_SPACED = re.compile(rf"(?<![^\s\"'(,;:])(?:{_ONE}[\s._\-]{{1,3}}){{2,}}{_ONE}(?![^\s.,;:!?\"')])")
 
 
-#: A disguised word: letters next to characters that stand for letters, or three equal letters in a row.
-DISGUISED = r"\pL[0-9@$!|+(*€]+\pL|^[0-9@$!|€*]+\pL|\pL[0-9@$€]+$|" + "|".join(f"{c}{{3}}" for c in LETTERS)
-#: Letters (or characters that stand for some) one by one, with the same kind of gap between them.
-SPACED = r"(?:^|[\s\"'(])((?:[\pL0-9@$!|€*][ ._\-]){2,}[\pL0-9@$!|€*])(?:$|[\s.,;:!?\"')])"
-_ONE = r"(?:[^\W_]|[@$!|€*])"
-_SPACED = re.compile(rf"(?<![^\s\"'(])({_ONE}([ ._\-])(?:{_ONE}\2)+{_ONE})(?![^\s.,;:!?\"')])")
+def spelled(text: str) -> list[str]:
+    """Stretches of a text that spell words one character at a time, gaps included."""
+    return [m[0] for m in _SPACED.finditer(text) if any(c.isalpha() for c in m[0])]
 
 
-def joined(text: str) -> list[str]:
-    """Words that a text spells one character at a time. Between blanks the first or last character may be a word of its
-    own, so the rest is given as well."""
-    out = []
-    for m in _SPACED.finditer(text):
-        word = re.sub(r"[ ._\-]", "", m[1])
-        if any(c.isalpha() for c in word):
-            out += [word, word[1:], word[:-1]] if m[2] == " " else [word]
-    return out
+def joined(stretch: str) -> list[str]:
+    """A spelled stretch without its gaps. Between blanks the first or last character may be a word of its own, so the rest is
+    given as well."""
+    word = re.sub(r"[\s._\-]", "", stretch)
+    return [word, word[1:], word[:-1]] if re.search(r"\s", stretch) else [word]

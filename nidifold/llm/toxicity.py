@@ -5,7 +5,7 @@ model counted over all texts (see deobfuscation). A text's features are its word
 of four to seven letters, each with how many of the text's distinct words share it (at least one, two, three); a logistic
 regression over those features that training rows show to matter gives the score.
 
-The regression is fitted on at most TRAINING_ROWS labelled rows, one of each doc_id, near copies counted once (rows that share one of
+The regression has at most MOST_FEATURES features, and is fitted on at most TRAINING_ROWS labelled rows, one of each doc_id, near copies counted once (rows that share one of
 two MinHash bands of five minima); rows are chosen by a hash of their id. Everything else covers all rows.
 
 Defined cases: a null or empty text has no features and gets the score of the intercept; labels that are null are not
@@ -49,8 +49,6 @@ class Features:
         self.costs, self.memory = costs, {}
 
     def restore(self, word: str) -> str:
-        if len(word) > 40:  # no word; hashes and the like
-            return ""
         if word not in self.memory:
             if len(self.memory) > 200_000:
                 self.memory.clear()
@@ -80,12 +78,19 @@ class Features:
         at = coded.indices.to_numpy(zero_copy_only=False)
         lower = pc.utf8_lower(coded.dictionary)
         plain = pc.replace_substring_regex(lower, r"[^\pL]+", "")
-        core = pc.replace_substring_regex(lower, r"^[^\pL0-9@$€!|*]+|^[!|*$@€]{2,}|[^\pL0-9@$€]+$|[$@€]{2,}$", "")
+        # Stars on both sides are emphasis; a single one at the end may be a letter.
+        core = pc.replace_substring_regex(lower, r"^\*+([^*]+)\*+([^\pL*]*)$", r"\1\2")
+        core = pc.replace_substring_regex(core, r"^[^\pL0-9@$€!|*]+|^[!|*$@€]{2,}|[^\pL0-9@$€*]+$|[$@€*]{2,}[^\pL]*$", "")
         odd = np.flatnonzero(pc.match_substring_regex(core, deob.DISGUISED).to_numpy(zero_copy_only=False))
-        restored = [self.restore(w) for w in core.take(pa.array(odd)).to_pylist()]
+        parts = [self.restore(w).split() or [""] for w in core.take(pa.array(odd)).to_pylist()]
+        odd = np.repeat(odd, [len(p) for p in parts]) if parts else odd
+        restored = [w for p in parts for w in p]
         spelt_row, spelt = [], []
         for i in np.flatnonzero(pc.match_substring_regex(texts, deob.SPACED).to_numpy(zero_copy_only=False)):
-            words = [self.restore(w.lower()) for w in deob.joined(texts[int(i)].as_py())]
+            words = []
+            for stretch in deob.spelled(texts[int(i)].as_py().lower()):
+                words += self.restore(stretch).split()
+                words += [self.restore(w) for w in deob.joined(stretch)]
             spelt += words
             spelt_row += [i] * len(words)
         every = pa.concat_arrays([plain, pa.array([*restored, *spelt], pa.large_string())])

@@ -6,6 +6,7 @@ import textwrap
 import zlib
 from collections import defaultdict
 from fractions import Fraction
+from itertools import product
 
 import duckdb
 import numpy as np
@@ -324,6 +325,7 @@ def test_license_scan(spark):
     con.register("documents", pa.table({"doc_id": pa.array([i for i, _ in rows if i], pa.int64()), "text": pa.array([t for i, t in rows if i], pa.string())}))
     sql = con.execute(f"SELECT doc_id, sentence_ids, licenses, n_sentences FROM ({licenses.scan_sql()})").fetchall()
     assert {r[0]: r[1:] for r in sql} == {i: x for i, x in got.items() if i}
+    assert all(any(w in s for w in licenses.TALK) for s in licenses.SENTENCES)
     assert len(scanned) == len(rows) and licenses.scan(table(spark, [])).count() == 0
     assert {i for _, run in licenses.RULES for i in run} <= set(licenses.SENTENCES.values())
 
@@ -411,19 +413,53 @@ def test_range_coder_checkpoints():
     assert len(payload) * 8 / len(block) < entropy * 1.05 + 0.3
 
 
-def test_restoring_disguised_words():
+def letter_costs():
     counts = np.ones((deob.SYMBOLS,) * 3) * 0.01
-    for word in ["idiot"] * 50 + ["stupid"] * 50 + ["loser"] * 50 + ["the", "this", "list", "ball", "old"] * 5:
+    for word in ["idiot"] * 50 + ["stupid"] * 50 + ["loser"] * 50 + ["you", "the", "this", "list", "ball", "old"] * 5:
         s = deob.symbols(word).astype(int)
         for a, b, c in zip(s, s[1:], s[2:]):
             counts[a, b, c] += 1
+            if b == 0 or c == 0:
+                counts[b, 0, s[1]] += 1
         counts[0, 0, s[1]] += 1
-    costs = deob.model(counts)
-    for written, meant in {"1d10t": "idiot", "id!ot": "idiot", "$tup1d": "stupid", "idiooooot": "idiot", "l0ser": "loser", "l*ser": "loser", "the": "the"}.items():
-        assert deob.restored(written, costs) == meant
-    assert deob.joined("you, i d i o t and s.t.u.p.i.d!") == ["idiot", "diot", "idio", "stupid"]
-    assert "idiot" in deob.joined("what a i d i o t")
-    assert deob.joined("a b") == []
+    return deob.model(counts)
+
+
+def test_restoring_disguised_words():
+    costs = letter_costs()
+    written = {"1d10t": "idiot", "id!ot": "idiot", "$tup1d": "stupid", "idiooooot": "idiot", "idi" + "o" * 45 + "t": "idiot", "iidioott": "idiot", "l0ser": "loser", "l*ser": "loser", "the": "the", "ball": "ball"}
+    written |= {"i d i o t": "idiot", "i  d\ti\no t": "idiot", "s. t. u. p. i. d": "stupid", "y o u i d i o t": "you idiot"}
+    for w, meant in written.items():
+        assert deob.restored(w, costs) == meant
+    found = deob.spelled("you, i d i o t and s.t.u.p.i.d! what a i d i  0 t, a b")
+    assert found == ["i d i o t", "s.t.u.p.i.d", "a i d i  0 t"]
+    assert deob.joined(found[0]) == ["idiot", "diot", "idio"] and deob.joined(found[1]) == ["stupid"]
+    assert deob.restored("", costs) == "" and len(deob.restored("a1" * 20_000, costs)) > 10_000
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="io1l!a@t. *s", max_size=5))
+def test_viterbi_against_all_paths(written):
+    rng = np.random.default_rng(1)
+    costs = rng.random((deob.SYMBOLS,) * 3) * 3
+    steps = deob.lattice(written)
+
+    def cost(path):
+        total, numbers = sum(c for _, c in path), [0, 0]
+        for text, _ in path:
+            numbers += [0] if text == " " else deob.symbols(text)[1:-1].tolist()
+        return total + sum(costs[x] for x in zip(numbers, numbers[1:], [*numbers[2:], 0]))
+
+    best = min(product(*steps), key=cost)
+    assert deob.restored(written, costs) == " ".join("".join(t for t, _ in best).split())
+
+
+def test_no_disguise_hides_a_word():
+    make = toxicity.Features(letter_costs())
+    want = make.of_words(pa.array(["idiot"], pa.large_string()))[0, 0]
+    for text in ("an idiot here", "an 1d10t.", "id*ot", "*idiot*", "idio*", "so idi" + "o" * 60 + "t", "i d i o t", "i\nd\ni\no\nt", "y.o.u. .i.d.i.o.t", "iidioott!", "IDIOT"):
+        _, found = make.of_texts(pa.array([text, None, ""]))
+        assert want in found, text
 
 
 def test_toxicity_scores(spark):

@@ -27,7 +27,7 @@ def _star(edges: DataFrame, large: bool, label: str) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and component (its least reachable node) for each node with an edge; ``edges`` has longs a and b."""
+    """node and component (its least reachable node) for each node with an edge; ``edges`` has columns a and b of one type."""
     edges = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(F.col("a") != F.col("b")).distinct(), "edges")
     mark = None
     while True:

@@ -7,8 +7,9 @@ far below the threshold are left; all others are confirmed on the documents' ful
 
 Groups of copies never become all their pairs. Equal sets are one class from the start. In each band bucket the members
 are compared with one of them (a star); confirmed links give components; then only members of different components of one
-bucket are compared, each member outside a bucket's largest component with the others. Pairs left out lie in one
-component already, so the components are those of all linked candidates.
+bucket are compared, each member outside a bucket's largest component with the others, less those members whose own shingles
+alone rule out every link in the bucket. Pairs left out lie in one component already, or are no links, so the components are
+those of all linked candidates.
 
 With 25 bands of 5 minima a pair at similarity 0.8 is missed by all bands with probability 0.00005, one at 0.85 with
 0.0000009; the estimate's margin is over five standard deviations.
@@ -41,6 +42,8 @@ PERMUTATIONS = BANDS * PER_BAND
 MARGIN = 0.25
 #: Members of buckets with several components get a longer signature of the same kind, and so a smaller margin.
 LONG, LONG_MARGIN = 1024, 0.065
+#: Pairs of one document, and members of one bucket, that a task takes at once, about.
+PAIRS_AT_ONCE, MEMBERS_AT_ONCE = 10_000, 2_000
 _seeds = np.random.default_rng(20_240_601)
 FACTORS = _seeds.integers(1, 1 << 32, PERMUTATIONS + LONG, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 OFFSETS = _seeds.integers(0, 1 << 32, PERMUTATIONS + LONG, dtype=np.uint64).astype(np.uint32)
@@ -152,10 +155,25 @@ def estimate(a: str, b: str, permutations: int = PERMUTATIONS):
     return (1 - differ / F.lit(permutations) - chance) / (1 - chance)
 
 
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (staged) with the texts ta and tb of their documents. The pairs of a document in very many of them are dealt
+    into parts of about PAIRS_AT_ONCE, each of which meets a copy of the text, so no task has to take them all."""
+    out, total, copies = pairs.select("a", "b"), pairs.count(), {}
+    for side, other in (("a", "b"), ("b", "a")):
+        counts = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("__n")).withColumn(f"__parts{side}", F.ceil(F.col("__n") / PAIRS_AT_ONCE).cast("int"))
+        counts = staged(counts, f"pairs-of-{side}")
+        out = join_counted(out, counts, [side], "__n", total).withColumn(f"__part{side}", F.pmod(F.xxhash64(other), F.col(f"__parts{side}")).cast("int")).drop(f"__parts{side}")
+        own = texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"t{side}")).join(counts, side)
+        copies[side] = own.select(side, f"t{side}", F.explode(F.sequence(F.lit(0), F.col(f"__parts{side}") - 1)).alias(f"__part{side}"))
+    out = staged(out, "dealt-pairs")
+    for side in ("a", "b"):
+        out = out.join(copies[side], [side, f"__part{side}"])
+    return out.select("a", "b", "ta", "tb")
+
+
 def measured(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """The pairs (a, b) with the sizes of their full sets and of what these have in common: na, nb, common."""
-    left = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "ta"}), "a")
-    both = left.join(texts.withColumnsRenamed({"doc_id": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
+    both = with_texts(pairs, texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -171,7 +189,8 @@ def measured(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
                 common = [len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i, j, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sizes[i], pa.int64()), pa.array(sizes[j], pa.int64()), pa.array(common, pa.int64())], ["a", "b", "na", "nb", "common"])
 
-    return both.mapInArrow(run, "a long, b long, na long, nb long, common long")
+    id_type = pairs.schema["a"].dataType.simpleString()
+    return both.mapInArrow(run, f"a {id_type}, b {id_type}, na long, nb long, common long")
 
 
 def is_link(percent: int):
@@ -188,7 +207,7 @@ def own_shingles(texts: DataFrame, words: int) -> DataFrame:
                 values, sizes = shingle_sets(batch.column("text"), words)
                 yield pa.RecordBatch.from_arrays([batch.column("lead").take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array(values.view(np.int64))], ["lead", "h"])
 
-    rows = texts.select("lead", "text").mapInArrow(run, "lead long, h long")
+    rows = texts.select("lead", "text").mapInArrow(run, f"lead {texts.schema['lead'].dataType.simpleString()}, h long")
     single = rows.groupBy("h").agg(F.min("lead").alias("lead"), F.max("lead").alias("last")).filter("lead = last")
     return single.groupBy("lead").agg(F.count(F.lit(1)).alias("own"))
 
@@ -205,7 +224,7 @@ def long_signatures(texts: DataFrame, words: int) -> DataFrame:
                 leads = batch.column("lead").filter(pa.array(sizes > 0))
                 yield pa.RecordBatch.from_arrays([leads, pa.array(list(packed), pa.list_(pa.int64()))], ["lead", "long"])
 
-    rows = texts.select("lead", "text").mapInArrow(run, "lead long, long array<long>")
+    rows = texts.select("lead", "text").mapInArrow(run, f"lead {texts.schema['lead'].dataType.simpleString()}, long array<long>")
     return rows.groupBy("lead").agg(F.when(F.count(F.lit(1)) == 1, F.first("long")).alias("long"))
 
 
@@ -252,16 +271,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         open_texts = staged(texts.withColumnRenamed("doc_id", "lead").join(open_.select("lead").distinct(), "lead", "left_semi"), "open-texts")
         open_ = open_.join(d, ["lead", "hub"], "left").join(own_shingles(open_texts, words).join(long_signatures(open_texts, words), "lead", "full"), "lead", "left")
         open_ = open_.withColumn("d", F.when(F.col("lead") == F.col("hub"), 0).otherwise(F.col("d"))).withColumn("e", F.col("d") - F.when(F.col("lead") == F.col("hub"), 0).otherwise(F.coalesce("own", F.lit(0))))
-        open_ = staged(open_.join(marks, "lead").select("band", "key", "lead", "hub", "c", "main", "n", "long", "d", "e"), "open-measured")
+        # Two documents differ in all that is their own, which a link allows up to a share of their sizes. A member that even
+        # the one with most room in its bucket can't make up for is in no link there.
+        room = F.when(F.col("long").isNotNull(), (100 - percent) * F.col("n") - (100 + percent) * F.coalesce("own", F.lit(0)))
+        open_ = open_.join(marks, "lead").withColumn("room", F.coalesce(room, F.lit(1 << 50)))
+        open_ = staged(open_.select("band", "key", "lead", "hub", "c", "main", "n", "long", "d", "e", "room"), "open-measured")
+        most = staged(open_.groupBy("band", "key").agg(F.max("room").alias("most"), F.count(F.lit(1)).alias("of")), "open-rooms")
+        left = staged(join_counted(open_, most, ["band", "key"], "of", open_.count()).filter("room + most >= 0").drop("room", "most"), "open-left")
+        counts = left.groupBy("band", "key").agg(F.count(F.lit(1)).alias("of")).withColumn("parts", F.ceil(F.col("of") / MEMBERS_AT_ONCE).cast("int"))
+        open_ = join_counted(left, staged(counts, "open-counts"), ["band", "key"], "of", left.count())
     else:
-        open_ = open_.join(marks, "lead").select("*", F.lit(None).cast("array<long>").alias("long"), F.lit(None).cast("long").alias("d"), F.lit(None).cast("long").alias("e"))
-    side = lambda x: open_.select("band", "key", F.col("hub").alias(f"hub{x}"), F.col("lead").alias(x), *[F.col(k).alias(k + x) for k in ("c", "n", "d", "e", "main")], F.col("long").alias(f"long{x}"))
-    odd, rest = side("a").filter("ca <> maina").alias("o"), side("b").alias("r")
+        open_ = open_.join(marks, "lead").select("*", F.lit(None).cast("array<long>").alias("long"), F.lit(None).cast("long").alias("d"), F.lit(None).cast("long").alias("e"), F.lit(1).alias("parts"))
+    # Members outside the largest component are dealt into parts, each of which meets all members.
+    side = lambda x: open_.select("band", "key", "parts", F.col("hub").alias(f"hub{x}"), F.col("lead").alias(x), *[F.col(k).alias(k + x) for k in ("c", "n", "d", "e", "main")], F.col("long").alias(f"long{x}"))
+    odd = side("a").filter("ca <> maina").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).alias("o")
+    rest = side("b").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("r")
     differ = F.col("da") + F.col("db") - 2 * F.least("ea", "eb")
     possible = F.coalesce(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent), F.lit(True))
     likely = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & F.coalesce(estimate("longa", "longb", LONG) >= percent / 100 - LONG_MARGIN, F.lit(True))
     near = (F.col("ca") != F.col("cb")) & possible & likely & (F.col("a") != F.col("huba")) & (F.col("b") != F.col("huba"))
-    more = odd.join(rest, (F.col("o.band") == F.col("r.band")) & (F.col("o.key") == F.col("r.key")) & near).select("a", "b")
+    more = odd.join(rest, (F.col("o.band") == F.col("r.band")) & (F.col("o.key") == F.col("r.key")) & (F.col("o.part") == F.col("r.part")) & near).select("a", "b")
     pairs = staged(more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cross-pairs")
     every = own.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b")
     if pairs.limit(1).count():

@@ -107,3 +107,42 @@ def test_items_of_later_blocks_are_found_alike(spark, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(table(spark, docs), bench).collect()}
     assert got == brute_force(docs, items)
+
+
+def test_near_copies_with_other_ids_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PAIRS_AT_ONCE", 3)
+    monkeypatch.setattr(near_dedup, "MEMBERS_AT_ONCE", 4)
+    rng = np.random.default_rng(8)
+    base, rows = [f"w{k}" for k in range(60)], []
+    for k in range(80):
+        text = list(base)
+        for at in rng.choice(60, int(rng.integers(0, 9)), replace=False):
+            text[at] = f"e{rng.integers(0, 4)}x{at}"
+        rows.append((f"id{k:03}", " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    sets = [(i, {tuple(t.split()[k : k + 2]) for k in range(59)}) for i, t in rows]
+    of = {i: i for i, _ in sets}
+    for _ in rows:
+        for i, a in sets:
+            for j, b in sets:
+                if of[i] != of[j] and 100 * len(a & b) >= 80 * len(a | b):
+                    of[i] = of[j] = min(of[i], of[j])
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, 2).collect()} == of
+    assert len(set(of.values())) > 1
+
+
+def test_pages_of_one_template_are_ruled_out_one_by_one(spark, monkeypatch):
+    """Many texts that are alike, but not enough: none is compared with all others."""
+    rng = np.random.default_rng(9)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for k in range(300):
+        text = list(base)
+        for at in rng.choice(100, 9, replace=False):
+            text[at] = f"own{k}x{at}"
+        rows.append((k, " ".join(text)))
+    seen = []
+    plain = near_dedup.measured
+    monkeypatch.setattr(near_dedup, "measured", lambda pairs, *more: (seen.append(pairs.count()), plain(pairs, *more))[1])
+    got = near_dedup.near_duplicates(table(spark, rows), 2).collect()
+    assert all(r.kept for r in got) and sum(seen[1:]) == 0 and seen[0] < 300 * near_dedup.BANDS

@@ -158,6 +158,8 @@ def reference(name: str) -> str:
 #: Known sentences in normalised form, references made of phrases and names, and their identifiers.
 SENTENCES = {_normal(f"{phrase} {article} {called}"): reference(name) for name, many in NAMES.items() for called in many for phrase in PHRASES for article in ("", "the", "a")} | {_normal(s): i for s, i in TEXTS.items()}
 RULES = [*TEXT_RULES, *((name, [reference(name)]) for name in NAMES), ("Proprietary", ["AllRights"])]
+#: Each known sentence holds one of these words or parts of words (tested), so other texts and sentences need no look-up.
+TALK = ["licen", "reserved", "permi", "warrant", "redistribut", "copyright", "liable", "software", "released", "distributed", "available"]
 #: Stands for what a rule has used up; a run of identifiers never spans it.
 USED = "-"
 #: End of a sentence, and the end of a line that is none.
@@ -166,6 +168,10 @@ END, LINE = "\x01", "\x02"
 MARKS = [("\r\n?", "\n"), ("\n([^a-zA-Z0-9\n]*\n)+", END), ("[.!?;:][\"')\\]]*[ \t\n]", END), ("\n", LINE + END), ("[^a-zA-Z0-9\x01\x02]+", " ")]
 
 
+def talk(text: Column) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in TALK])
+
+
 def parts(text: Column) -> Column:
     """Normalised sentences and lines; those that end with LINE may go on in the next."""
     marked = reduce(lambda c, x: F.regexp_replace(c, *x), MARKS, F.coalesce(text, F.lit("")))
@@ -176,9 +182,10 @@ def identifiers(text: Column) -> Column:
     """The identifiers of a text's known sentences, in order."""
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
     bare = lambda p: F.trim(F.replace(p, F.lit(LINE), F.lit("")))
-    told = lambda p: F.when(F.element_at(known, bare(p)).isNotNull(), F.concat(F.lit(END), bare(p), F.lit(END))).when(F.endswith(p, F.lit(LINE)), F.concat(F.lit(" "), bare(p))).otherwise(F.concat(F.lit(" "), bare(p), F.lit(END)))
+    told = lambda p: F.when(talk(p) & F.element_at(known, bare(p)).isNotNull(), F.concat(F.lit(END), bare(p), F.lit(END))).when(F.endswith(p, F.lit(LINE)), F.concat(F.lit(" "), bare(p))).otherwise(F.concat(F.lit(" "), bare(p), F.lit(END)))
     whole = F.split(F.array_join(F.transform(parts(text), told), ""), END)
-    return F.filter(F.transform(whole, lambda s: F.element_at(known, F.trim(s))), lambda i: i.isNotNull())
+    found = F.filter(F.transform(F.filter(whole, talk), lambda s: F.element_at(known, F.trim(s))), lambda i: i.isNotNull())
+    return F.when(talk(F.lower(F.coalesce(text, F.lit("")))), found).otherwise(F.array().cast("array<string>"))
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def similar_to_regex(pattern: str) -> str:
         else:
             out.append(c)
         k += 1
-    return "(?s)^(?:" + "".join(out) + ")$"
+    return "(?s)^(?:" + "".join(out) + r")\z"
 
 
 def substring(text: Column, start: int, length: int) -> Column:

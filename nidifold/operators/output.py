@@ -32,7 +32,7 @@ def _with_children(tree: Nested) -> Vector:
     for name, child in tree.children.items():
         inner = _with_children(child)
         lists = _collected(inner, list(child.children)).select(*[F.col(c).alias(f"_c{j}") for j, c in enumerate(inner.seg)], F.col("_list").alias(name))
-        on = [F.col(k) == F.col(f"_c{j}") for j, k in enumerate(v.key)]
+        on = [F.col(k).eqNullSafe(F.col(f"_c{j}")) for j, k in enumerate(v.key)]
         kind = lists.schema[name].dataType
         frame = frame.join(lists, on, "left").withColumn(name, F.coalesce(F.col(name), F.array().cast(kind))).drop(*[f"_c{j}" for j in range(inner.n_seg)])
     return Vector(frame, v.n_seg, v.n_key, v.ascending, v.items)

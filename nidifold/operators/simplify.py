@@ -1,5 +1,5 @@
-"""What declared keys make superfluous in sorts and groupings. Catalyst knows no functional dependencies, so this is done
-when plans are made."""
+"""What declared keys make superfluous in groupings. Catalyst knows no functional dependencies, so this is done when plans
+are made."""
 
 from __future__ import annotations
 
@@ -9,19 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def prune_order(order: Sequence[tuple[str, bool]], keys: Iterable[Collection[str]] = (), constants: Collection[str] = ()) -> list[tuple[str, bool]]:
-    """(column, ascending) pairs without repeated and constant columns, and cut where a prefix contains a key."""
-    out: list[tuple[str, bool]] = []
-    keys = [set(k) for k in keys]
-    for name, ascending in order:
-        seen = {n for n, _ in out}
-        if any(k <= seen | set(constants) for k in keys):
-            break
-        if name not in seen and name not in constants:
-            out.append((name, ascending))
-    return out
-
-
 def group_by_key(df: DataFrame, columns: Sequence[str], aggregates: Sequence[Column], keys: Iterable[Collection[str]] = ()) -> DataFrame:
     """``groupBy(columns).agg(aggregates)``; columns that a key among them determines don't become part of the grouping."""
     key = min((k for k in keys if set(k) <= set(columns)), key=len, default=None)
@@ -30,9 +17,3 @@ def group_by_key(df: DataFrame, columns: Sequence[str], aggregates: Sequence[Col
     rest = [c for c in columns if c not in key]
     out = df.groupBy(*[c for c in columns if c in key]).agg(*[F.first(c).alias(c) for c in rest], *aggregates)
     return out.select(*columns, *[c for c in out.columns if c not in columns])
-
-
-def prune_group(columns: Sequence[str], constants: Collection[str]) -> list[str]:
-    """Grouping columns without constants, but at least one: grouping by none would make a row of an empty input."""
-    out = [c for c in columns if c not in constants]
-    return out or list(columns[:1])

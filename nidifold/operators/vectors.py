@@ -100,7 +100,9 @@ class Vector:
         return replace(self, frame=self.frame.withColumn(name, F.row_number().over(self.window()).cast("long")), items=(*self.items, name))
 
     def take(self, n: int) -> Vector:
-        """The first elements of each list."""
+        """The first elements of each list. Of the one at the top each partition gives no more than n."""
+        if not self.n_seg:
+            return replace(self, frame=self.frame.orderBy(*self.order()).limit(n))
         place = "_place"
         return replace(self, frame=self.frame.withColumn(place, F.row_number().over(self.window())).filter(F.col(place) <= n).drop(place))
 
@@ -164,9 +166,9 @@ class Vector:
     # Two vectors
 
     def _join(self, other: Vector, pairs: Sequence[tuple[str, str]], on: Predicate | None, how: str = "inner") -> DataFrame:
-        """A join on equality of pairs of columns and a predicate."""
+        """A join on pairs of columns, in which null equals null (as in groupings), and a predicate."""
         left, right = sides()
-        parts = [left(a) == right(b) for a, b in pairs] + ([on(left, right)] if on else [])
+        parts = [left(a).eqNullSafe(right(b)) for a, b in pairs] + ([on(left, right)] if on else [])
         condition = _and(parts)
         return joined(self.frame, other.frame, None if condition is None else lambda _l, _r: condition, how)
 
@@ -211,8 +213,20 @@ class Vector:
         frame = pairs.frame.select(*[F.col(c).alias(x) for c, x in zip(roles, names, strict=True)])
         return Vector(frame, pairs.n_seg, pairs.n_key, pairs.ascending[n:], pairs.items)
 
-    def group_join(self, other: Vector, on: Predicate, aggregates: Callable[[Callable[[str], Column], Callable[[str], Column]], Sequence[Aggregate]]) -> Vector:
-        """Each element with aggregates over its partners, none lost; what an aggregate sees are partners only."""
+    def group_join(self, other: Vector, on: Predicate | Sequence[tuple[str, str]], aggregates: Callable[[Callable[[str], Column], Callable[[str], Column]], Sequence[Aggregate]]) -> Vector:
+        """Each element with aggregates over its partners, none lost; what an aggregate sees are partners only. With pairs of
+        columns that must be equal, in place of a predicate, aggregates are over columns of ``other`` alone, and it is aggregated
+        before the join, so no more than a row for each partition and key is shuffled."""
+        if not callable(on):
+            found = list(aggregates(F.col, F.col))
+            lists = other.seg if self.n_seg == other.n_seg else []
+            grouped = other.frame.groupBy(*lists, *[F.col(b).alias(f"_g{j}") for j, (_, b) in enumerate(on)]).agg(*[a.column() for a in found])
+            right = Vector(grouped, len(lists), 0, (), tuple(a.name for a in found))
+            left, right_ = sides()
+            flat = joined(self.frame, right.frame, lambda l, r: _and([l(a).eqNullSafe(r(b)) for a, b in zip(self.seg if lists else [], lists, strict=True)] + [l(a) == r(f"_g{j}") for j, (a, _) in enumerate(on)]), "left")  # noqa: E741
+            s, k, o, i = self._roles(left)
+            values = [(a.name, right_(a.name) if a.default is None else F.coalesce(right_(a.name), F.lit(a.default))) for a in found]
+            return Vector.made(flat, s, k, o, i + values)
         marked = replace(other, frame=other.frame.withColumn(MATCH, F.lit(True)))
         flat = self._join(marked, self._same_list(other), on, "left")
         found = list(aggregates(*sides()))
@@ -242,29 +256,28 @@ class Vector:
     def append(self, other: Vector) -> Vector:
         """All of the left before the right. The branch is the first key and order column, so nothing is numbered."""
         width = max(self.n_key, other.n_key)
-        depth = max(len(self.ascending), len(other.ascending))
-
-        def part(v: Vector, branch: int) -> tuple[DataFrame, list[bool]]:
+        kinds = [{f.name: f.dataType for f in v.frame.schema.fields} for v in (self, other)]
+        # Orders of one direction and type share columns; others stand side by side, null in the other branch.
+        n, m = len(self.ascending), len(other.ascending)
+        short = min(n, m)
+        shared = self.ascending[:short] == other.ascending[:short] and all(kinds[0][c] == kinds[1][c] for c in _names("o", short))
+        directions = max(self.ascending, other.ascending, key=len) if shared else (*self.ascending, *other.ascending)
+
+        def part(v: Vector, branch: int) -> DataFrame:
             s, k, o, i = v._roles()
-            none = F.lit(None)
-            kinds = {n: f.dataType for v2 in (self, other) for n, f in zip(v2.frame.columns, v2.frame.schema.fields, strict=True)}
-            fill = lambda name: none.cast(kinds[name])
-            keys = [F.lit(branch), *k, *[fill(c) for c in _names("k", width)[v.n_key :]]]
-            orders = [F.lit(branch), *[c for c, _ in o], *[fill(c) for c in _names("o", depth)[len(o) :]]]
-            frame = v.frame.select(*s, *[c.alias(f"_k{j}") for j, c in enumerate(keys)], *[c.alias(f"_o{j}") for j, c in enumerate(orders)], *[c for _, c in i])
-            return frame, [a for _, a in o]
-
-        (a, up_a), (b, up_b) = part(self, 1), part(other, 2)
-        if up_a == up_b:
-            directions, frame = up_a, a.unionByName(b)
-        else:  # orders of unlike direction: the list's positions take their place
-            return self._positioned().append(other._positioned())
-        return Vector(frame, self.n_seg, width + 1, (True, *directions), self.items)
-
-    def _positioned(self) -> Vector:
-        s, k, _, i = self._roles()
-        flat = self.frame.withColumn("_p", F.row_number().over(self.window()).cast("long"))
-        return Vector.made(flat, s, k, [(F.col("_p"), True)], i)
+            none = lambda kind: F.lit(None).cast(kind)
+            other_kinds = kinds[2 - branch]
+            keys = [F.lit(branch), *k, *[none(other_kinds[c]) for c in _names("k", width)[v.n_key :]]]
+            own = [c for c, _ in o]
+            if shared:
+                orders = own + [none(other_kinds[c]) for c in _names("o", max(n, m))[len(own) :]]
+            else:
+                gaps = [none(other_kinds[c]) for c in _names("o", m if branch == 1 else n)]
+                orders = own + gaps if branch == 1 else gaps + own
+            orders = [F.lit(branch), *orders]
+            return v.frame.select(*s, *[c.alias(f"_k{j}") for j, c in enumerate(keys)], *[c.alias(f"_o{j}") for j, c in enumerate(orders)], *[c for _, c in i])
+
+        return Vector(part(self, 1).unionByName(part(other, 2)), self.n_seg, width + 1, (True, *directions), self.items)
 
     def combine(self, condition: str, then: Vector, otherwise: Vector) -> Vector:
         """Elements from ``then`` where the Boolean item holds, else from ``otherwise``; all three share keys."""
@@ -292,7 +305,7 @@ class Vector:
 
     def app_filter(self, inner: Vector) -> Vector:
         """The inner lists of the elements that are left."""
-        frame = inner.frame.join(self.frame.select(*[F.col(c).alias(f"_f{j}") for j, c in enumerate(self.key)]), _and([F.col(f"_f{j}") == F.col(c) for j, c in enumerate(inner.seg)]), "left_semi")
+        frame = inner.frame.join(self.frame.select(*[F.col(c).alias(f"_f{j}") for j, c in enumerate(self.key)]), _and([F.col(f"_f{j}").eqNullSafe(F.col(c)) for j, c in enumerate(inner.seg)]), "left_semi")
         return replace(inner, frame=frame)
 
     def merge(self, inner: Vector) -> Vector:
@@ -328,8 +341,8 @@ class Vector:
         return Vector.made(flat, own, own + k, o, i)
 
     def replicate_scalar(self, single: Vector) -> Vector:
-        """Each element with the value of a list of one element."""
-        flat = joined(self.frame, F.broadcast(single.frame.select(*single.items)), None)  # one row
+        """Each element with the value of a list of one element. The planner sees whether it is small."""
+        flat = joined(self.frame, single.frame.select(*single.items), None)
         left, right = sides()
         s, k, o, i = self._roles(left)
         return Vector.made(flat, s, k, o, i + [(n, right(n)) for n in single.items])
@@ -358,7 +371,7 @@ class Vector:
         return self._mapped(m, copies=True)
 
     def _mapped(self, m: Map, copies: bool) -> Vector:
-        flat = joined(m.frame, self.frame, lambda a, b: _and([a(f"_f{j}") == b(c) for j, c in enumerate(self.seg)]))
+        flat = joined(m.frame, self.frame, lambda a, b: _and([a(f"_f{j}").eqNullSafe(b(c)) for j, c in enumerate(self.seg)]))
         left, right = sides()
         _, k, o, i = self._roles(right)
         to = [left(f"_t{j}") for j in range(m.n_to)]
@@ -372,6 +385,6 @@ class Vector:
 
 def composed(first: Map, then: Map) -> Map:
     """A map that follows one map with another."""
-    flat = joined(first.frame, then.frame, lambda a, b: _and([a(f"_t{j}") == b(f"_f{j}") for j in range(first.n_to)]))
+    flat = joined(first.frame, then.frame, lambda a, b: _and([a(f"_t{j}").eqNullSafe(b(f"_f{j}")) for j in range(first.n_to)]))
     left, right = sides()
     return Map(flat.select(*[left(f"_f{j}").alias(f"_f{j}") for j in range(first.n_from)], *[right(f"_t{j}").alias(f"_t{j}") for j in range(then.n_to)]), first.n_from, then.n_to)

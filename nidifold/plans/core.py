@@ -10,7 +10,7 @@ from ..operators import relational as rel
 from ..operators.output import positions
 from ..operators.simplify import group_by_key
 from ..operators.vectors import Map, composed
-from ..sources.tables import KEYS, as_list, frame, literal, literal_lists, table
+from ..sources.tables import KEYS, as_list, frame, literal, literal_deep, literal_lists, table
 from .common import double, money, query
 
 # Bags
@@ -286,9 +286,61 @@ def compose_maps(spark, sf_dir):
     return positions(customers.app_key(composed(same, nations.key_map()))).select("n_regionkey", "c_custkey", "pos")
 
 
+@query("SELECT o_orderkey AS owner, 1::BIGINT AS n FROM orders")
+def segment(spark, sf_dir):
+    """Each order in a list of its own."""
+    lists = table(spark, sf_dir, "orders", "o_orderkey").segment().fold(agg.count_("n"))
+    return lists.frame.select(F.col("_s0").alias("owner"), "n")
+
+
+@query("SELECT 0 AS list, count(*) AS n, max(r_regionkey) AS last FROM region")
+def nest(spark, sf_dir):
+    """The list of one list that holds all regions."""
+    row, inner = table(spark, sf_dir, "region", "r_regionkey").nest()
+    folded = inner.fold(agg.count_("n"), agg.max_("last", F.col("r_regionkey"))).frame.select("_s0", "n", "last")
+    return row.join(folded, F.col("_k0") == F.col("_s0")).select(F.col("_k0").alias("list"), "n", "last")
+
+
+@query("SELECT count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(14,2))) AS DOUBLE) AS total FROM customer JOIN orders ON o_custkey = c_custkey")
+def unit_map(spark, sf_dir):
+    """Lists of orders by customer, all brought to the one list at the top."""
+    customers = table(spark, sf_dir, "customer", "c_custkey")
+    orders = customers.nest_join(table(spark, sf_dir, "orders", "o_custkey", "o_totalprice"), lambda l, r: l("c_custkey") == r("o_custkey"))  # noqa: E741
+    out = orders.app_key(customers.unit_map()).fold(agg.count_("n"), agg.sum_("total", money("o_totalprice")))
+    return out.frame.select("n", double(F.col("total")).alias("total"))
+
+
+@query("""SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT, 2::BIGINT, 3::BIGINT), (0, 1, 0, NULL), (2, 0, 1, 3), (2, 1, 3, 15), (2, 2, 0, NULL)) t(a, b, n, total)""")
+def literal_three_levels(spark, sf_dir):
+    """A literal of three levels with empty lists on the two lower ones."""
+    outer, middle, inner = literal_deep(spark, [[[(1,), (2,)], []], [], [[(3,)], [(4,), (5,), (6,)], []]], "x long")
+    counted = middle.project(b=F.col("_k1")).aggregate_inner(inner, agg.count_("n"), agg.Aggregate("total", lambda g: F.sum("x")))
+    return outer.project(a=F.col("_k0")).replicate_nest(counted).frame.select("a", "b", F.col("n").cast("long").alias("n"), "total")
+
+
+@query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS pos FROM orders QUALIFY pos <= 10")
+def take_top(spark, sf_dir):
+    """The first elements of the list at the top, numbered after all others are gone."""
+    return positions(table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice").sort((F.col("o_totalprice"), False)).take(10)).select("o_orderkey", "o_totalprice", "pos")
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS n, max(o_totalprice) AS most FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY 1")
+def group_join_pairs(spark, sf_dir):
+    """A group join on equal columns: the right side is aggregated before the join."""
+    some = table(spark, sf_dir, "orders", "o_custkey", "o_totalprice", "o_orderstatus").select(F.col("o_orderstatus") == "P")
+    v = table(spark, sf_dir, "customer", "c_custkey").group_join(some, [("c_custkey", "o_custkey")], lambda _, r: [agg.count_("n"), agg.max_("most", r("o_totalprice"))])
+    return v.frame.select("c_custkey", F.col("n").cast("long").alias("n"), "most")
+
+
 # Scalars
 
 
+@query("SELECT p_partkey, p_brand AS brand, p_size AS size FROM part")
+def tuple_parts(spark, sf_dir):
+    both = frame(spark, sf_dir, "part").select("p_partkey", sc.tuple_(F.col("p_brand"), F.col("p_size")).alias("t"))
+    return both.select("p_partkey", F.col("t._1").alias("brand"), F.col("t._2").alias("size"))
+
+
 @query("SELECT o_orderkey, o_orderkey + o_custkey AS a, o_orderkey - o_custkey AS s, o_orderkey * 3 AS m, o_orderkey // 7 AS d, o_orderkey % 7 AS r, o_totalprice / 4.0::DOUBLE AS q FROM orders")
 def arith(spark, sf_dir):
     k, c = F.col("o_orderkey"), F.col("o_custkey")

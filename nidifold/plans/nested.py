@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 from ..functions import aggregates as agg
 from ..functions import scalars as sc
 from ..operators.relational import group_join_equi
-from ..operators.output import Nested, positions, to_nested
-from ..sources.tables import frame, table
+from ..operators.output import Nested, positions, to_bundle, to_nested
+from ..sources.tables import as_list, frame, table
 from .common import SQL_REVENUE, double, money, query, revenue
 
 
@@ -110,11 +110,10 @@ def _offers(spark, sf_dir):
 
 
 @query(f"""{_CHEAPER} SELECT a.p AS part, a.s AS supplier, b.s AS cheaper, row_number() OVER (PARTITION BY a.p, a.s ORDER BY b.price, b.s) AS pos
-           FROM offer a JOIN offer b ON a.p = b.p AND b.price < a.price WHERE a.p % 10 = 0""")
+           FROM offer a JOIN offer b ON a.p = b.p AND b.price < a.price""")
 def cheaper_suppliers(spark, sf_dir):
     offers = _offers(spark, sf_dir)
-    mine = offers.select(F.col("p") % 10 == 0)
-    inner = mine.nest_join(offers, lambda l, r: (l("p") == r("p")) & (r("price") < l("price"))).sort(F.col("price_2"))  # noqa: E741
+    inner = offers.nest_join(offers, lambda l, r: (l("p") == r("p")) & (r("price") < l("price"))).sort(F.col("price_2"))  # noqa: E741
     return positions(inner).select(F.col("p").alias("part"), F.col("s").alias("supplier"), F.col("s_2").alias("cheaper"), "pos")
 
 
@@ -126,6 +125,29 @@ def cheaper_suppliers_avg(spark, sf_dir):
     return out.frame.select(F.col("p").alias("part"), F.col("s").alias("supplier"))
 
 
+@query(f"""{_CHEAPER}, e AS (SELECT p, s, price FROM offer JOIN supplier ON s_suppkey = s JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'EUROPE')
+           SELECT p AS part, s AS supplier, row_number() OVER (PARTITION BY p ORDER BY s) AS pos FROM e JOIN (SELECT p AS q, avg(price) AS m FROM e GROUP BY 1) ON p = q WHERE price < m""")
+def cheaper_suppliers_avg2(spark, sf_dir):
+    """Of each part the list of a region's suppliers that are cheaper than the mean of that region's offers."""
+    region = frame(spark, sf_dir, "region").filter("r_name = 'EUROPE'")
+    nations = frame(spark, sf_dir, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")
+    suppliers = as_list(frame(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"), "left_semi"), ["s_suppkey"])
+    offers = _offers(spark, sf_dir).semi_join(suppliers, lambda l, r: l("s") == r("s_suppkey"))  # noqa: E741
+    parts = as_list(offers.frame.select(F.col("p").alias("q")).distinct(), ["q"])
+    mean = parts.group_join(offers, [("q", "p")], lambda _, r: [agg.avg_("m", r("price"))])
+    inner = mean.nest_join(offers, lambda l, r: (l("q") == r("p")) & (r("price") < l("m")))  # noqa: E741
+    return positions(inner).select(F.col("p").alias("part"), F.col("s").alias("supplier"), "pos")
+
+
+@query("SELECT n_name, c_custkey, row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey) AS pos FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_regionkey = 2")
+def bundle(spark, sf_dir):
+    """A nested result as one DataFrame for each level, put together again by what the lower one says of its lists."""
+    nations = table(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey").select(F.col("n_regionkey") == 2)
+    customers = nations.nest_join(table(spark, sf_dir, "customer", "c_custkey", "c_nationkey"), lambda l, r: l("n_nationkey") == r("c_nationkey"))  # noqa: E741
+    upper, lower = to_bundle(Nested(nations.project(n_name=F.col("n_name")), {"customers": Nested(customers.number().project(c_custkey=F.col("c_custkey"), pos=F.col("pos")))}))
+    return upper.join(lower, F.col("_k0") == F.col("_s0")).select("n_name", "c_custkey", "pos")
+
+
 @query("SELECT conv_id, role, n, chars, row_number() OVER (PARTITION BY conv_id ORDER BY role) AS pos FROM (SELECT conv_id, role, count(*) AS n, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY 1, 2)")
 def conversation_roles(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").group(conv_id=F.col("conv_id"))[1]

@@ -173,6 +173,89 @@ def q19(spark, sf_dir):
     return rows.agg(double(F.coalesce(F.sum(revenue()), F.lit(0))).alias("revenue"))
 
 
+# There are no supplier offers, ship modes or receipt dates, so offers are taken from what was sold, and lateness from order dates.
+
+_OFFER = "SELECT l_partkey AS p, l_suppkey AS s, min(CAST(l_extendedprice AS DECIMAL(14,2)) / l_quantity::DOUBLE) AS price FROM lineitem GROUP BY 1, 2"
+
+
+@query(f"""WITH o AS ({_OFFER}), e AS (SELECT s_acctbal, s_name, n_name, p, price FROM o JOIN supplier ON s = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+             JOIN part ON p = p_partkey WHERE r_name = 'EUROPE' AND p_type = 'PROMO' AND p_size BETWEEN 10 AND 30)
+           SELECT s_acctbal, s_name, n_name, p AS part, price FROM e WHERE price = (SELECT min(price) FROM e f WHERE f.p = e.p) ORDER BY s_acctbal DESC, n_name, s_name, p LIMIT 100""")
+def q2(spark, sf_dir):
+    """The cheapest suppliers of a region for parts of a kind; line items are filtered by both before they are grouped."""
+    nations = frame(spark, sf_dir, "nation").join(frame(spark, sf_dir, "region").filter("r_name = 'EUROPE'"), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")
+    suppliers = frame(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name", "s_acctbal", "n_name")
+    parts = frame(spark, sf_dir, "part").filter((F.col("p_type") == "PROMO") & F.col("p_size").between(10, 30)).select("p_partkey")
+    items = frame(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"), "left_semi").join(suppliers.select("s_suppkey"), F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
+    offers = items.groupBy(F.col("l_partkey").alias("part"), "l_suppkey").agg(F.min(double(money("l_extendedprice")) / F.col("l_quantity")).alias("price"))
+    best = offers.withColumn("least", F.min("price").over(Window.partitionBy("part"))).filter("price = least")
+    rows = best.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select("s_acctbal", "s_name", "n_name", "part", "price")
+    return rows.orderBy(F.desc("s_acctbal"), "n_name", "s_name", "part").limit(100)
+
+
+_Q11 = "SELECT l_partkey, sum(CAST(l_extendedprice AS DECIMAL(14,2))) AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey < 2 GROUP BY 1"
+
+
+@query(f"WITH v AS ({_Q11}) SELECT l_partkey AS part, CAST(v AS DOUBLE) AS value FROM v WHERE v > (SELECT sum(v) * 0.0005 FROM v)")
+def q11(spark, sf_dir):
+    nations = frame(spark, sf_dir, "nation").filter("n_regionkey < 2")
+    suppliers = frame(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"), "left_semi")
+    items = frame(spark, sf_dir, "lineitem").join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
+    values = items.groupBy("l_partkey").agg(F.sum(money("l_extendedprice")).alias("v"))
+    least = values.agg((F.sum("v") * F.lit("0.0005").cast("decimal(5,4)")).alias("least"))  # one row
+    return values.join(F.broadcast(least), F.col("v") > F.col("least")).select(F.col("l_partkey").alias("part"), double(F.col("v")).alias("value"))
+
+
+@query("""SELECT l_returnflag, sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END)::BIGINT AS high, sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 0 ELSE 1 END)::BIGINT AS low
+          FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_shipdate >= DATE '1997-01-01' AND l_shipdate < DATE '1998-01-01' AND datediff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) > 30 GROUP BY 1""")
+def q12(spark, sf_dir):
+    items = frame(spark, sf_dir, "lineitem").filter((F.col("l_shipdate") >= date("1997-01-01")) & (F.col("l_shipdate") < date("1998-01-01"))).select("l_orderkey", "l_returnflag", "l_shipdate")
+    rows = items.join(frame(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
+    late = rows.filter(sc.diff_days(F.col("o_orderdate"), F.col("l_shipdate")) > 30)
+    high = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    return late.groupBy("l_returnflag").agg(F.count_if(high).alias("high"), F.count_if(~high).alias("low"))
+
+
+@query("""SELECT p_brand, p_type, p_size, count(DISTINCT l_suppkey) AS suppliers FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_brand <> 'Brand#12' AND p_type NOT LIKE 'MEDIUM%' AND p_size IN (3, 9, 14, 19, 23, 36, 45, 49)
+          AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY 1, 2, 3""")
+def q16(spark, sf_dir):
+    parts = frame(spark, sf_dir, "part").filter((F.col("p_brand") != "Brand#12") & ~F.col("p_type").like("MEDIUM%") & F.col("p_size").isin(3, 9, 14, 19, 23, 36, 45, 49))
+    bad = frame(spark, sf_dir, "supplier").filter("s_acctbal < 0").select("s_suppkey")
+    items = frame(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").join(bad, F.col("l_suppkey") == F.col("s_suppkey"), "left_anti")
+    rows = items.join(parts.select("p_partkey", "p_brand", "p_type", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    return rows.groupBy("p_brand", "p_type", "p_size").agg(F.count_distinct("l_suppkey").alias("suppliers"))
+
+
+@query("""SELECT s_suppkey, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey < 3 AND s_suppkey IN (
+            SELECT l_suppkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_name LIKE 'red%') AND l_shipdate >= DATE '1997-01-01' AND l_shipdate < DATE '1998-01-01'
+            GROUP BY l_partkey, l_suppkey HAVING sum(CAST(l_quantity AS DECIMAL(14,2))) > 20)""")
+def q20(spark, sf_dir):
+    parts = frame(spark, sf_dir, "part").filter(F.col("p_name").like("red%")).select("p_partkey")
+    items = frame(spark, sf_dir, "lineitem").filter((F.col("l_shipdate") >= date("1997-01-01")) & (F.col("l_shipdate") < date("1998-01-01"))).join(parts, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+    many = items.groupBy("l_partkey", "l_suppkey").agg(F.sum(money("l_quantity")).alias("q")).filter("q > 20")
+    nations = frame(spark, sf_dir, "nation").filter("n_regionkey < 3").select("n_nationkey")
+    suppliers = frame(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"), "left_semi")
+    return suppliers.join(many, F.col("s_suppkey") == F.col("l_suppkey"), "left_semi").select("s_suppkey", "s_name")
+
+
+_LATE = "datediff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) > 60"
+
+
+@query(f"""WITH i AS (SELECT l_orderkey AS k, l_suppkey AS s, {_LATE} AS late FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F')
+           SELECT s_name, count(*) AS waits FROM i a JOIN supplier ON s_suppkey = a.s WHERE a.late AND EXISTS (SELECT 1 FROM i b WHERE b.k = a.k AND b.s <> a.s)
+           AND NOT EXISTS (SELECT 1 FROM i b WHERE b.k = a.k AND b.s <> a.s AND b.late) GROUP BY 1 ORDER BY waits DESC, s_name LIMIT 100""")
+def q21(spark, sf_dir):
+    """Suppliers who alone held up an order of several: one pass over the orders' items."""
+    orders = frame(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", "o_orderdate")
+    items = frame(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_shipdate").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    late = sc.diff_days(F.col("o_orderdate"), F.col("l_shipdate")) > 60
+    own = F.when(late, F.col("l_suppkey"))
+    by_order = items.groupBy("l_orderkey").agg((F.min("l_suppkey") < F.max("l_suppkey")).alias("several"), F.min(own).alias("first"), F.max(own).alias("last"), F.count_if(late).alias("n"))
+    alone = by_order.filter("several AND first = last").groupBy("first").agg(F.sum("n").alias("waits"))
+    rows = alone.join(frame(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), F.col("first") == F.col("s_suppkey"))
+    return rows.groupBy("s_name").agg(F.sum("waits").alias("waits")).orderBy(F.desc("waits"), "s_name").limit(100)
+
+
 @query("""SELECT c_nationkey, count(*) AS n, CAST(sum(CAST(c_acctbal AS DECIMAL(14,2))) AS DOUBLE) AS total FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0)
           AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= DATE '2001-07-01') GROUP BY 1""")
 def q22(spark, sf_dir):

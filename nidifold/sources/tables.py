@@ -53,9 +53,18 @@ def literal(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Vector:
     return Vector.made(df, [], [F.col("_n")], [(F.col("_n"), True)], [(c, F.col(c)) for c in df.columns[1:]])
 
 
+def literal_deep(spark: SparkSession, values: Sequence[Sequence[Sequence[tuple]]], schema: str) -> tuple[Vector, Vector, Vector]:
+    """A literal list of lists of lists: its three levels, the upper two without values. Lists of all levels may be empty."""
+    outer, middle = literal_lists(spark, [[() for _ in lists] for lists in values], "")
+    rows = [(k, j, i, *r) for k, lists in enumerate(values) for j, rows in enumerate(lists) for i, r in enumerate(rows)]
+    inner = spark.createDataFrame(rows, f"_n long, _m long, _l long, {schema}")
+    n, m, last = F.col("_n"), F.col("_m"), F.col("_l")
+    return outer, middle, Vector.made(inner, [n, m], [n, m, last], [(last, True)], [(c, F.col(c)) for c in inner.columns[3:]])
+
+
 def literal_lists(spark: SparkSession, lists: Sequence[Sequence[tuple]], schema: str) -> tuple[Vector, Vector]:
     """A literal list of lists: an outer vector without values, and the inner one. Inner lists may be empty."""
     outer = spark.createDataFrame([(k,) for k in range(len(lists))], "_n long")
-    inner = spark.createDataFrame([(k, j, *r) for k, rows in enumerate(lists) for j, r in enumerate(rows)], f"_n long, _m long, {schema}")
+    inner = spark.createDataFrame([(k, j, *r) for k, rows in enumerate(lists) for j, r in enumerate(rows)], ", ".join(["_n long", "_m long", *([schema] if schema else [])]))
     n, m = F.col("_n"), F.col("_m")
     return Vector.made(outer, [], [n], [(n, True)], []), Vector.made(inner, [n], [n, m], [(m, True)], [(c, F.col(c)) for c in inner.columns[2:]])

@@ -1,20 +1,23 @@
 """Chat formatting by schema fingerprints, with DataFrame functions only.
 
 Records of unlike layouts (turn tables, message lists, instructions, prompts with answers) are told apart by a fingerprint:
-a hash of their nested field paths. Each known fingerprint selects a declarative mapping to canonical turns
-(conv_id, turn, role, text). Canonical turns are formatted by one template, ``<turn role>text</turn>`` and a line feed.
+a hash of their nested fields, by name, written as one text (``OBJECT<messages: ARRAY<OBJECT<content, role>>>``); for tables
+it is made from the schema, for JSON from each record. Each known fingerprint selects a declarative mapping to canonical
+turns (conv_id, turn, role, text). Canonical turns are formatted by one template, ``<turn role>text</turn>`` and a line feed.
 Inside roles and texts, ``\\``, ``<`` and ``>`` are written ``\\0``, ``\\1`` and ``\\2``, so no text can forge a mark, and reading
 the output back gives the very turns.
 
 Defined cases: a null text or role is empty; turns of a conversation come by turn (null first), then role, then text, so
 ties and repeated rows have one order and all stay; rows with a null conv_id are one conversation; a conversation without
-an assistant turn has an empty loss mask; an empty table gives no rows; records of an unknown layout are returned by
-``unmapped``.
+an assistant turn has an empty loss mask; an empty table gives no rows; columns that no table layout names are ignored; a
+table of an unknown layout (a column missing, or nested where a scalar is wanted) is a ValueError; records of an unknown layout are returned by
+``unmapped``. A conversation is formatted in one row, so it must fit a task's memory.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Collection, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
@@ -42,14 +45,6 @@ class Layout:
     many: tuple[str, str, str] | None = None
     rows: tuple[str, str, str] | None = None
 
-    @property
-    def fingerprint(self) -> str:
-        return fingerprint(self.paths)
-
-
-def fingerprint(paths: tuple[str, ...] | list[str]) -> str:
-    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
-
 
 LAYOUTS = [
     Layout("turn rows", ("conv_id", "role", "text", "turn"), rows=("turn", "role", "text")),
@@ -66,17 +61,19 @@ LAYOUTS = [
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
-def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
-    """The paths of the scalar fields of a schema; ``[]`` marks lists."""
+def schema_shape(kind: T.DataType, only: Collection[str] | None = None) -> str:
+    """The text of a schema's nested field names, without the scalars' types; ``only``: the top fields that count."""
     if isinstance(kind, T.StructType):
-        return [p for f in kind.fields for p in schema_paths(f.dataType, f"{at}.{f.name}" if at else f.name)]
+        fields = sorted((f for f in kind.fields if only is None or f.name in only), key=lambda f: f.name)
+        inner = [(f.name, schema_shape(f.dataType)) for f in fields]
+        return f"OBJECT<{', '.join(n if not x else f'{n}: {x}' for n, x in inner)}>"
     if isinstance(kind, T.ArrayType):
-        return schema_paths(kind.elementType, f"{at}[]")
-    return [at]
+        return f"ARRAY<{schema_shape(kind.elementType)}>"
+    return ""
 
 
 def _shape(value: Column) -> Column:
-    """A text of a JSON value's nested field names without the scalars' types, the same for all records of a layout."""
+    """The same text of a JSON value."""
     schema = F.schema_of_variant(value)
     return F.regexp_replace(schema, r": (?!OBJECT|ARRAY)[A-Z]+(\([0-9, ]*\))?", "")
 
@@ -89,8 +86,12 @@ def layout_shape(layout: Layout) -> str:
     return f"OBJECT<{', '.join(sorted(layout.paths))}>"
 
 
+def fingerprint(shape: str) -> str:
+    return hashlib.sha256(shape.encode()).hexdigest()
+
+
 def with_fingerprint(records: DataFrame, column: str) -> DataFrame:
-    """``records`` with __json (a variant) and __fp, the hash of the record's nested field paths."""
+    """``records`` with __json (a variant) and __fp, the fingerprint of the record."""
     return records.withColumn("__json", F.try_parse_json(F.col(column))).withColumn("__fp", F.sha2(_shape(F.col("__json")), 256))
 
 
@@ -106,35 +107,42 @@ def _turns(layout: Layout) -> Column:
     return F.filter(F.array(*parts), lambda t: F.coalesce(F.length(t["text"]) > 0, F.lit(False)) | F.element_at(wanted, t["turn"].cast("int") + 1)).cast(TURNS)
 
 
-def turns_of_records(records: DataFrame, conv_id: str, column: str, layouts: list[Layout] = LAYOUTS) -> DataFrame:
+def with_roles(turns: DataFrame, roles: Mapping[str, str]) -> DataFrame:
+    """``turns`` with roles by their canonical names; others stay as they are."""
+    if not roles:
+        return turns
+    names = F.create_map(*[F.lit(x) for pair in roles.items() for x in pair])
+    return turns.withColumn("role", F.coalesce(F.element_at(names, F.lower("role")), F.col("role")))
+
+
+def turns_of_records(records: DataFrame, conv_id: str, column: str, layouts: list[Layout] = LAYOUTS, roles: Mapping[str, str] = ROLES) -> DataFrame:
     """Canonical turns of JSON records in one column; each record's fingerprint selects its mapping."""
     known = [x for x in layouts if not x.rows]
     told = with_fingerprint(records.select(F.col(conv_id).alias("conv_id"), F.col(column).alias("__text")), "__text")
-    of = lambda x: F.sha2(F.lit(layout_shape(x)), 256)
+    of = lambda x: F.lit(fingerprint(layout_shape(x)))
     turns = reduce(lambda out, x: out.when(F.col("__fp") == of(x), _turns(x)), known[1:], F.when(F.col("__fp") == of(known[0]), _turns(known[0])))
     flat = told.select("conv_id", F.explode(turns).alias("t")).select("conv_id", "t.turn", "t.role", "t.text")
-    names = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
-    return flat.withColumn("role", F.coalesce(F.element_at(names, F.lower("role")), F.col("role")))
+    return with_roles(flat, roles)
 
 
 def unmapped(records: DataFrame, column: str, layouts: list[Layout] = LAYOUTS) -> DataFrame:
     """The records that no mapping fits, with their fingerprint in __fp."""
-    shapes = [F.sha2(F.lit(layout_shape(x)), 256) for x in layouts if not x.rows]
+    shapes = [fingerprint(layout_shape(x)) for x in layouts if not x.rows]
     told = with_fingerprint(records, column).drop("__json")
     return told.filter(F.col("__fp").isNull() | ~F.col("__fp").isin(shapes))
 
 
-def canonical_turns(table: DataFrame, layouts: list[Layout] = LAYOUTS) -> DataFrame:
-    """Canonical turns of a table whose schema's fingerprint, or that of its needed columns, names a layout of turn rows.
-    Other columns are ignored."""
-    names = set(table.columns)
-    by_print = {x.fingerprint: x for x in layouts if x.rows}
-    for x in layouts:
-        if x.rows and set(x.paths) <= names:
-            found = by_print[fingerprint(schema_paths(table.select(*x.paths).schema))]
-            turn, role, text = found.rows
-            return table.select("conv_id", F.col(turn).cast("bigint").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    raise ValueError(f"no layout has the field paths {sorted(schema_paths(table.schema))}")
+def canonical_turns(table: DataFrame, layouts: list[Layout] = LAYOUTS, roles: Mapping[str, str] = ROLES) -> DataFrame:
+    """Canonical turns of a table with a row for each turn; the fingerprint of those of its fields that table layouts name
+    selects its mapping."""
+    known = {fingerprint(layout_shape(x)): x for x in layouts if x.rows}
+    named = {p for x in known.values() for p in x.paths}
+    found = known.get(fingerprint(schema_shape(table.schema, named)))
+    if found is None:
+        raise ValueError(f"no layout has the fields {schema_shape(table.schema)}")
+    turn, role, text = found.rows
+    out = table.select("conv_id", F.col(turn).cast("bigint").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
+    return with_roles(out, roles)
 
 
 def escaped(text: Column) -> Column:

@@ -68,7 +68,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = chat.canonical_turns(read_table(spark, sf_dir, "conversations"))
+    table = chat.canonical_turns(read_table(spark, sf_dir, "conversations"), roles={})  # the contract has roles as they are
     tricky = "\\### Assistant: </turn> ok"
     record = F.to_json(F.struct(F.array(*[F.struct(F.lit(role).alias("role"), F.lit(tricky).alias("content")) for role in ("user", "assistant")]).alias("messages")))
     more = chat.turns_of_records(spark.range(1).select(F.lit(-7).cast(table.schema["conv_id"].dataType).alias("conv_id"), record.alias("record")), "conv_id", "record")

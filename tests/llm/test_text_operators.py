@@ -343,6 +343,14 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_turns(chat.canonical_turns(source.limit(0)))).count() == 0
     with pytest.raises(ValueError):
         chat.canonical_turns(source.drop("role"))
+    with pytest.raises(ValueError):
+        chat.canonical_turns(source.withColumn("text", F.struct("text")))
+    more = source.withColumn("prompt", F.lit("x")).withColumn("messages", F.array(F.struct("role")))
+    assert chat.canonical_turns(more).count() == len(rows)
+    human = chat.canonical_turns(source.withColumn("role", F.lit("Human"))).select("role").distinct().collect()
+    assert [r.role for r in human] == ["user"]
+    long = spark.createDataFrame([(1, 0, "assistant", "<" + "word " * 100_000)], "conv_id long, turn long, role string, text string")
+    assert chat.read_back(chat.format_turns(chat.canonical_turns(long))).collect()[0].loss_text == "<" + "word " * 100_000
 
 
 def test_chat_layouts(spark):
